@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.llm import conversations, groups, pii
+from lorequarry.llm import conversations, groups, history, neighbours, pii, tokens
 from lorequarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,15 +27,27 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(spark, load(spark, d, "turns"), load(spark, d, "sessions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_turns(spark, load(spark, d, "turns"), load(spark, d, "sessions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_concepts(spark, load(spark, d, "concept_links"), load(spark, d, "concepts_global"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(spark, load(spark, d, "concepts_global"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(load(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_redacted": p1_redacted,
         "p2_found": p2_found, "p2_conversations": p2_conversations,
-        "p5_found": p5_found,
+        "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
     }
 
 
