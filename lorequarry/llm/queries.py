@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.llm import conversations, groups, history, neighbours, pii, tokens
+from lorequarry.llm import conversations, groups, history, mixing, neighbours, pii, splitting, tokens
 from lorequarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,28 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(load(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decode(tokens.encode(load(spark, d, "documents")))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark, load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(spark, load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_documents(load(spark, d, "documents"), load(spark, d, "chunk_limits"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_redacted": p1_redacted,
         "p2_found": p2_found, "p2_conversations": p2_conversations,
-        "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
+        "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
+        "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces,
     }
 
 

@@ -45,6 +45,22 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+class _Words(dict):
+    """Pre-split words and their ids as int32 bytes, encoded when first asked for; of bounded size."""
+
+    def __init__(self, a: Automaton):
+        super().__init__()
+        self.a = a
+
+    def __missing__(self, word: str) -> bytes:
+        got = np.array(self.a.path(word.encode("utf-8", "surrogatepass")), dtype=np.int32).tobytes()
+        if len(self) > 400_000:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class Automaton:
     """The compiled merges; states are tokens, arcs are made when first asked for."""
 
@@ -74,7 +90,8 @@ class Automaton:
             for byte in self.labels[i]:
                 node = node.setdefault(byte, {})
             node[-1] = i
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self)
+        self.packed = self.words.__getitem__  # the ids of one pre-split word as int32 bytes
 
     def _arc(self, x: int, y: int, time: float) -> bool:
         """Whether y may follow x once the gadgets before ``time`` are in place."""
@@ -120,17 +137,6 @@ class Automaton:
             at = start[at]
         return out[::-1]
 
-    def packed(self, word: str) -> bytes:
-        """The ids of one pre-split word as int32 bytes; words seen before come from the cache."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > 400_000:
-                self.words.clear()
-            got = np.array(self.path(word.encode("utf-8", "surrogatepass")), dtype=np.int32).tobytes()
-            if len(word) <= 64:
-                self.words[word] = got
-        return got
-
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         return np.frombuffer(b"".join(map(self.packed, split(text))), dtype=np.int32)
@@ -142,7 +148,7 @@ class Automaton:
     def word_lengths(self, text: str) -> tuple[list[str], np.ndarray]:
         """The pre-split words of a text and how many tokens each has."""
         words = split(text)
-        return words, np.fromiter((len(self.packed(w)) >> 2 for w in words), dtype=np.int32, count=len(words))
+        return words, np.fromiter(map(len, map(self.packed, words)), dtype=np.int64, count=len(words)) >> 2
 
 
 _unicode_split = regex.compile(PRE_SPLIT).findall
