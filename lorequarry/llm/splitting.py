@@ -127,7 +127,8 @@ def _best(pos: np.ndarray, lev: np.ndarray, start: np.ndarray, limit: int, targe
     n = len(pos)
     cost, back = np.full(n + 1, np.inf), np.full(n + 1, -1, dtype=np.int64)  # 0: the beginning, k + 1: behind pos[k]
     cost[0] = 0.0
-    s = np.concatenate([[0], start])
+    s = np.concatenate([[0], start]).astype(np.float64)
+    scale = IMBALANCE / limit**2
     pen = PENALTY[lev].copy()
     pen[-1] = 0.0
     lo = 0
@@ -137,7 +138,10 @@ def _best(pos: np.ndarray, lev: np.ndarray, start: np.ndarray, limit: int, targe
             lo += 1
         if lo > k:
             return None
-        c = cost[lo : k + 1] + IMBALANCE * ((p - s[lo : k + 1] - target) / limit) ** 2
+        c = s[lo : k + 1] - (p - target)
+        c *= c
+        c *= scale
+        c += cost[lo : k + 1]
         i = int(c.argmin())
         cost[k + 1], back[k + 1] = c[i] + pen[k], lo + i
     if not np.isfinite(cost[n]):
@@ -167,13 +171,18 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
         pos, lev, at_char, starts, chars, ends = boundaries(a, words, lens, limit - slack - overlap)
         total = int(ends[-1])
         begin = np.maximum(pos - overlap, 0)
-        for j, b in enumerate(begin.tolist()):
+
+        def place(b: int) -> int:
+            """The token position at or before ``b`` that lies between characters."""
             while at_char[b] < 0:
                 k = int(np.searchsorted(ends, b, "right"))
                 _fill(a, words[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
                 if at_char[b] < 0:
                     b -= 1
-            begin[j] = b
+            return b
+
+        if not text.isascii():  # in ASCII every token ends between characters
+            begin = np.array([place(b) for b in begin.tolist()], dtype=np.int64)
         room = limit - slack
         count = max(2, -(-(total - overlap) // (room - overlap)))
         plan = _best(pos, lev, begin, room, (total + (count - 1) * overlap) / count)
@@ -184,7 +193,7 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
             x, y = int(at_char[s]), int(at_char[pos[k]])
             p = int(pos[k])
             out.append((x, y, _length(a, text, x, y, s, p, words, ends, chars, lev[k] == 4), "end" if p == total else LEVELS[lev[k]]))
-            s = int(begin[k])
+            s = place(int(begin[k]))
         if all(p[2] <= limit for p in out):
             return out
     raise ValueError(f"no pieces within {limit} tokens that share {overlap}")
