@@ -1,10 +1,12 @@
 """Rebuild conversations from message rows with keyed streaming state.
 
-Turn rows stream into state keyed by (session, chunk); a chunk holds a bounded
-range of idx (or of ts where idx is null), so that a session with a third of
-all rows is spread over many keys. Late rows wait in the state until the
-event-time watermark closes the chunk; then its ordered rows and a summary come
-out. Summaries of one session are merged in order, as a monoid, into a verdict.
+Turn rows are buffered by (session, chunk); a chunk holds a bounded range of idx
+(or of ts where idx is null), so that a session with a third of all rows is
+spread over many chunks. The streaming state is keyed by shards of chunks, each
+of some thousand rows, as a key of its own for a chunk costs more than its rows.
+Late rows wait in the state until the event-time watermark closes the chunk;
+then its ordered rows and a summary come out. Summaries of one session are
+merged in order, as a monoid, into a verdict.
 
 Defined cases: exact repeats of a row count once; a null session_id belongs to
 no conversation; a null or unknown role, a null idx beside a written one, a gap
@@ -13,31 +15,34 @@ conversation; null, empty and blank texts carry no message.
 """
 from __future__ import annotations
 
+import pickle
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorequarry.session import Stored, shared_path
+from lorequarry.session import remove, shared_path
 
 ROLES = ["user", "assistant", "tool", "system"]
 #: Width of a chunk in idx, and in ms of ts (more rows than ms means a repeated ts).
 CHUNK_IDX, CHUNK_MS = 2048, 3_600_000
-#: Rows of one chunk kept as they are; a chunk of idx can't hold more without a repeat,
-#: and a chunk of ts this large goes on as a count per ts alone.
+#: Rows that a shard of the state should hold.
+SHARD_ROWS = 4_000
 _ORDER_IDX, _ORDER_TS, _ORDER_NONE = 0, 1, 2
 
 LIGHT = (
-    "session_id string, by int, chunk long, pos long, id string, role int, says int, row_key long, event_time timestamp, close boolean"
+    "shard int, session_id string, by int, chunk long, pos long, id string, role int, says int, row_key long, event_time timestamp, close boolean"
 )
 OUT = (
     "session_id string, by int, chunk long, n long, lo long, hi long, broken boolean, bad_role boolean, "
     "users long, assistants long, unanswered boolean, first int, last int, ids array<string>, roles array<string>"
 )
-STATE = "rows array<struct<pos:bigint,id:string,role:int,says:int,key:bigint>>, broken boolean, bad_role boolean, n bigint"
+OUT_NAMES = [f.split()[0] for f in OUT.split(", ")]
+STATE = "buffers binary"
 
 
-def light_rows(turns: DataFrame) -> DataFrame:
+def light_rows(turns: DataFrame, shards: int) -> DataFrame:
     """The columns that order and validate, without texts: what the stream carries."""
     role = F.lower(F.regexp_replace("role", r"(?U)^\s+|\s+$", ""))
     code = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), role).cast("int"), F.lit(0))
@@ -45,8 +50,10 @@ def light_rows(turns: DataFrame) -> DataFrame:
     pos = F.coalesce(F.col("idx").cast("long"), F.col("ts"), F.lit(0))
     width = F.when(F.col("idx").isNotNull(), CHUNK_IDX).otherwise(CHUNK_MS)
     cols = sorted(turns.columns)
+    chunk = F.floor(pos / width).cast("long")
     return turns.where("session_id is not null").select(
-        "session_id", by.alias("by"), F.floor(pos / width).cast("long").alias("chunk"), pos.alias("pos"),
+        F.pmod(F.xxhash64("session_id", by, chunk), F.lit(shards)).cast("int").alias("shard"),
+        "session_id", by.alias("by"), chunk.alias("chunk"), pos.alias("pos"),
         "id", code.alias("role"),
         (F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).cast("int").alias("says"),
         F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in cols]).alias("row_key"),
@@ -69,51 +76,77 @@ def _summary(key: tuple, rows: list, broken: bool, bad_role: bool, n: int) -> di
     )
 
 
+class _Buffer:
+    """The rows of one chunk so far."""
+
+    __slots__ = ("rows", "at", "broken", "bad_role", "n", "latest")
+
+    def __init__(self):
+        self.rows, self.at, self.broken, self.bad_role, self.n, self.latest = {}, set(), False, False, 0, 0
+
+    def add(self, by: int, pos: int, id_: str, role: int, says: int, key: int, ms: int) -> None:
+        if ms > self.latest:
+            self.latest = ms
+        if key in self.rows:
+            return
+        self.n += not self.broken
+        self.bad_role |= role == 0
+        if by == _ORDER_NONE or pos in self.at:
+            self.broken = True  # what broke a chunk needs no more rows than one
+        if not self.broken or not self.rows:
+            self.rows[key] = (pos, id_, role, says)
+            self.at.add(pos)
+
+    def packed(self):
+        return self.rows, self.broken, self.bad_role, self.n, self.latest
+
+    @classmethod
+    def unpacked(cls, x):
+        b = cls()
+        b.rows, b.broken, b.bad_role, b.n, b.latest = x
+        b.at = {r[0] for r in b.rows.values()}
+        return b
+
+
 def _advance(key, pdfs, state: GroupState):
-    """Buffer a chunk's rows, late ones too; emit it when the watermark closes it."""
+    """Buffer a shard's rows, late ones too; emit the chunks that the watermark has closed."""
+    buffers = {k: _Buffer.unpacked(x) for k, x in pickle.loads(state.get[0]).items()} if state.exists else {}
     if state.hasTimedOut:
-        rows, broken, bad_role, n = state.get
+        mark = state.getCurrentWatermarkMs()
+        done = [k for k, b in buffers.items() if b.latest <= mark]
+        out = [_summary(k, list(buffers[k].rows.values()), buffers[k].broken, buffers[k].bad_role, buffers[k].n) for k in done]
+        for k in done:
+            del buffers[k]
+        if out:
+            yield pd.DataFrame(out, columns=OUT_NAMES)
+    else:
+        for pdf in pdfs:
+            ms = pdf["event_time"].astype("datetime64[ms]").astype("int64")
+            cols = [pdf[c].tolist() for c in ("session_id", "by", "chunk", "pos", "id", "role", "says", "row_key", "close")]
+            for s, by, chunk, pos, id_, role, says, row_key, close, t in zip(*cols, ms.tolist()):
+                if not close:
+                    k = (s, by, chunk)
+                    b = buffers.get(k)
+                    if b is None:
+                        b = buffers[k] = _Buffer()
+                    b.add(by, pos, id_, role, says, row_key, t)
+    if buffers:
+        state.update((pickle.dumps({k: b.packed() for k, b in buffers.items()}),))
+        state.setTimeoutTimestamp(max(min(b.latest for b in buffers.values()), state.getCurrentWatermarkMs()) + 1)
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame([_summary(key, [tuple(r) for r in rows], broken, bad_role, n)])
-        return
-    rows, broken, bad_role, n = ({}, False, False, 0)
-    if state.exists:
-        old, broken, bad_role, n = state.get
-        rows = {r[4]: tuple(r) for r in old}
-    at = {r[0] for r in rows.values()}
-    latest = 0
-    for pdf in pdfs:
-        pdf = pdf[~pdf["close"]]
-        if not len(pdf):
-            continue
-        for pos, id_, role, says, k in zip(
-            pdf["pos"].tolist(), pdf["id"].tolist(), pdf["role"].tolist(), pdf["says"].tolist(), pdf["row_key"].tolist()
-        ):
-            if k in rows:
-                continue
-            n += not broken
-            bad_role |= role == 0
-            if key[1] == _ORDER_NONE or pos in at:
-                broken = True  # what broke a chunk needs no more rows than one
-            if not broken or not rows:
-                rows[k] = (pos, id_, role, says, k)
-                at.add(pos)
-        latest = max(latest, int(pdf["event_time"].max().value // 1_000_000))
-    state.update((list(rows.values()), broken, bad_role, n))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-    yield from ()
 
 
 def chunk_stream(light: DataFrame, lateness: str) -> DataFrame:
     """The stateful operator over a streaming ``light_rows`` frame."""
     return (
         light.withWatermark("event_time", lateness)
-        .groupBy("session_id", "by", "chunk")
+        .groupBy("shard")
         .applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def chunks(spark: SparkSession, turns: DataFrame, lateness: str = "36500 days") -> Stored | DataFrame:
+def chunks(spark: SparkSession, turns: DataFrame, lateness: str = "36500 days") -> DataFrame:
     """Run the stream over all rows of a stored table until it is drained.
 
     The rows of a stored table come in no useful order, so nothing may count as
@@ -122,12 +155,12 @@ def chunks(spark: SparkSession, turns: DataFrame, lateness: str = "36500 days")
     that the feed really has.
     """
     src, out, ck = (shared_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
-    light_rows(turns).write.parquet(src)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // SHARD_ROWS))
+    light_rows(turns, shards).write.parquet(src)
     spark.range(1).selectExpr(
-        "cast(null as string) session_id", "-1 by", "cast(0 as bigint) chunk", "cast(0 as bigint) pos", "cast(null as string) id",
+        "-1 shard", "cast(null as string) session_id", "-1 by", "cast(0 as bigint) chunk", "cast(0 as bigint) pos", "cast(null as string) id",
         "0 role", "0 says", "cast(0 as bigint) row_key", "timestamp'2200-01-01' event_time", "true close",
     ).coalesce(1).write.mode("append").parquet(src)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
     q = (
         chunk_stream(spark.readStream.schema(LIGHT).parquet(src), lateness)
         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
@@ -136,9 +169,6 @@ def chunks(spark: SparkSession, turns: DataFrame, lateness: str = "36500 days")
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    spark.conf.set("spark.sql.shuffle.partitions", old)
-    from lorequarry.session import remove
-
     remove(spark, src)
     remove(spark, ck)
     return spark.read.schema(OUT).parquet(out).where("session_id is not null")
@@ -184,8 +214,6 @@ def conversations(spark: SparkSession, turns: DataFrame, sessions: DataFrame) ->
     task ever sorts the rows of a whole session.
     """
     parts = chunks(spark, turns)
-    from pyspark.sql import Window
-
     ok = verdicts(parts).where("valid").select("session_id")
     ids = sessions.where("id is not null").select(F.col("id").alias("session_id")).distinct()
     before = parts.select("session_id", "by", "chunk", "n").withColumn(

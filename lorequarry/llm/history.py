@@ -30,13 +30,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.session import Stored, exists, shared_path
+from lorequarry.session import Stored, exists, remove, shared_path
 
 WORD = re.compile(r"[^\W_]+")
 #: The order of coordinates is by counts in this many buckets, so its size does not grow with the data.
 ORDER_BUCKETS = 1 << 17
-#: Sessions up to this number are broadcast beside the turns; more are joined by a shuffle.
-SESSIONS_BROADCAST = 500_000
+#: Up to these many rows one side of a join is broadcast (about 64 bytes a row); more are joined by a shuffle.
+SESSIONS_BROADCAST, PROBES_BROADCAST, PAIRS_BROADCAST = 500_000, 400_000, 200_000
+
+
+def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are within the limit."""
+    return F.broadcast(df) if rows <= limit else df
 
 
 def shingle_vector(text: str, shingle: int, min_words: int, cache: dict[str, int]) -> np.ndarray | None:
@@ -77,14 +82,14 @@ def vectors(docs: DataFrame, shingle: int = 3, min_words: int = 30) -> DataFrame
             lens = np.array([len(v) for v in vecs], dtype=np.int32)
             flat = np.concatenate(vecs) if vecs else np.empty(0, dtype=np.int64)
             offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-            ids = [xxhash.xxh3_128_hexdigest(v.tobytes()) for v in vecs]
+            ids = [xxhash.xxh3_128_digest(v.tobytes()) for v in vecs]
             yield pa.RecordBatch.from_arrays(
-                [sel.column(0), sel.column(1), pa.array(ids, pa.string()), pa.array(lens), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
+                [sel.column(0), sel.column(1), pa.array(ids, pa.binary()), pa.array(lens), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
                 ["doc_id", "batch", "set_id", "n", "vec"],
             )
 
     return docs.where("text is not null").select("doc_id", F.col("batch").cast("long").alias("batch"), "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, batch long, set_id string, n int, vec array<long>"
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, batch long, set_id binary, n int, vec array<long>"
     )
 
 
@@ -107,8 +112,8 @@ def coordinate_order(vecs: DataFrame) -> np.ndarray:
 class HistoryIndex:
     """The cells and full vectors of everything accepted, kept in a folder."""
 
-    SETS = "set_id string, n int, vec array<long>, leader boolean"
-    CELLS = "cell long, set_id string, n int, pos int, leader boolean"
+    SETS = "set_id binary, n int, vec array<long>, leader boolean"
+    CELLS = "cell long, set_id binary, n int, pos int, leader boolean"
 
     def __init__(self, spark: SparkSession, order: np.ndarray, path: str | None = None, percent: int = 70):
         self.spark, self.percent = spark, percent
@@ -141,50 +146,60 @@ class HistoryIndex:
                 cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), cells], ["set_id", "n", "leader", "cells"])
 
-        s = sets.select("set_id", "n", "vec", "leader").mapInArrow(first, "set_id string, n int, leader boolean, cells array<long>")
+        s = sets.select("set_id", "n", "vec", "leader").mapInArrow(first, "set_id binary, n int, leader boolean, cells array<long>")
         return s.select(F.posexplode("cells").alias("pos", "cell"), "set_id", "n", "leader")
 
-    def _matches(self, probes: DataFrame, cells: DataFrame, queries: DataFrame, full: DataFrame) -> DataFrame:
-        """(set_id) of the queries that have a near vector in the given cells."""
+    def _matches(self, probes: DataFrame, n_probes: int, cells: DataFrame, queries: DataFrame, full: DataFrame) -> Stored:
+        """(set_id) of the queries that have a near vector in the given cells.
+
+        The cells and full vectors of the history are scanned where they lie as
+        long as the batch's side is small enough to be sent to them.
+        """
         q = probes.select("cell", F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
         h = cells.select("cell", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
         rest = F.least(F.col("qn") - F.col("qp"), F.col("hn") - F.col("hp"))
-        cand = q.join(h, "cell").where(
+        met = h.join(small(q, n_probes, PROBES_BROADCAST), "cell").where(
             (100 * F.col("hn") >= self.percent * F.col("qn")) & (100 * F.col("qn") >= self.percent * F.col("hn")) & self._near(rest, F.col("qn"), F.col("hn"))
-        ).select("q", "h").distinct()
+        )
+        cand = Stored(self.spark, met.select("q", "h").distinct(), "candidates")
+        pairs = small(cand.df, cand.df.count(), PAIRS_BROADCAST)
+        b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv")).join(pairs, "h")
         a = queries.select(F.col("set_id").alias("q"), F.col("vec").alias("qv"))
-        b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv"))
         same = F.size(F.array_intersect("qv", "hv"))
-        return cand.join(a, "q").join(b, "h").where(self._near(same, F.size("qv"), F.size("hv"))).select(F.col("q").alias("set_id")).distinct()
+        near = b.join(a, "q").where(self._near(same, F.size("qv"), F.size("hv"))).select(F.col("q").alias("set_id")).distinct()
+        out = Stored(self.spark, near, "near")
+        cand.drop()
+        return out
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """Probe the history with a batch ``(set_id, n, vec)``, then append it; (set_id) of its repeats.
 
         The result is written, so it stays what it was when later batches are appended.
         """
-        spark = self.spark
+        spark, rows = self.spark, batch.count()
         sets, cells = self._read("sets", self.SETS), self._read("cells", self.CELLS)
         fresh = batch.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
         if sets is None:
-            new = fresh.withColumn("leader", F.lit(True))
-            stored = Stored(spark, new, "accepted")
-            self._append(stored.df, self._probed(stored.df))
-            stored.drop()
+            new = Stored(spark, fresh.withColumn("leader", F.lit(True)), "accepted")
+            self._append(new.df, self._probed(new.df))
+            new.drop()
             return batch.select("set_id").limit(0)
-        new = Stored(spark, fresh.join(sets.select("set_id"), "set_id", "left_anti").withColumn("leader", F.lit(True)), "new-sets")
+        ids = small(batch.select("set_id").distinct(), rows, PROBES_BROADCAST)
+        exact = Stored(spark, sets.select("set_id").join(ids, "set_id", "left_semi"), "repeats")
+        known = small(exact.df, rows, PROBES_BROADCAST)
+        new = Stored(spark, fresh.join(known, "set_id", "left_anti").withColumn("leader", F.lit(True)), "new-sets")
         probes = Stored(spark, self._probed(new.df), "probes")
-        first = Stored(spark, self._matches(probes.df, cells.where("leader"), new.df, sets.where("leader")), "near")
-        left = probes.df.join(first.df, "set_id", "left_anti")
-        second = Stored(spark, self._matches(left, cells.where("not leader"), new.df, sets.where("not leader")), "near")
+        n = probes.df.count()
+        first = self._matches(probes.df, n, cells.where("leader"), new.df, sets.where("leader"))
+        left = probes.df.join(small(first.df, rows, PROBES_BROADCAST), "set_id", "left_anti")
+        second = self._matches(left, n, cells.where("not leader"), new.df, sets.where("not leader"))
         near = first.df.union(second.df)
-        flagged = near.withColumn("near", F.lit(True))
+        flagged = small(near.withColumn("near", F.lit(True)), rows, PROBES_BROADCAST)
         lead = lambda df: df.join(flagged, "set_id", "left").withColumn("leader", F.col("near").isNull()).drop("near")
-        exact = batch.select("set_id").distinct().join(sets.select("set_id"), "set_id", "left_semi")
-        out = Stored(spark, exact.union(near), "repeats")
         self._append(lead(new.df), lead(probes.df))
-        for s in (new, probes, first, second):
-            s.drop()
-        return out.df
+        new.drop()
+        probes.drop()
+        return exact.df.union(near)
 
     def _append(self, sets: DataFrame, cells: DataFrame) -> None:
         sets.select("set_id", "n", "vec", "leader").write.mode("append").parquet(f"{self.path}/sets")
@@ -203,18 +218,13 @@ def batches_of(turns: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def repeated_turns(spark: SparkSession, turns: DataFrame, sessions: DataFrame, shingle: int = 3, min_words: int = 30, percent: int = 70) -> DataFrame:
     """(turn_id) of the turns that repeat, or nearly repeat, one of an earlier batch."""
-    vecs = vectors(batches_of(turns, sessions), shingle, min_words)
-    docs = Stored(spark, vecs, "turn-vectors")
+    docs = Stored(spark, vectors(batches_of(turns, sessions), shingle, min_words), "turn-vectors", ["batch"])
     order = coordinate_order(docs.df)
-    per = Stored(
-        spark, docs.df.groupBy("batch", "set_id").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec")).repartition("batch", F.pmod(F.xxhash64("set_id"), F.lit(4))),
-        "batch-sets", ["batch"],
-    )
     light = Stored(spark, docs.df.select("doc_id", "batch", "set_id"), "turn-sets")
-    docs.drop()
     index, found = HistoryIndex(spark, order, percent=percent), []
     for b in [r["batch"] for r in light.df.select("batch").distinct().orderBy("batch").collect()]:
-        again = index.accept(per.df.where(F.col("batch") == b).select("set_id", "n", "vec"))
+        again = index.accept(docs.df.where(F.col("batch") == b).select("set_id", "n", "vec"))
+        remove(spark, f"{docs.path}/batch={b}")  # its vectors are in the index now
         found.append(again.select(F.lit(b).alias("batch"), "set_id"))
     if not found:
         return light.df.select(F.col("doc_id").alias("turn_id"))

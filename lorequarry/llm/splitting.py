@@ -48,7 +48,7 @@ class _Shapes(dict):
 _shape = _Shapes().__getitem__
 
 
-def boundaries(a: Automaton, words: list[str], lens: np.ndarray, room: int):
+def boundaries(a: Automaton, words: list[str], packs: list[bytes], lens: np.ndarray, room: int):
     """(token positions of the candidate cuts, their levels, the char position at each token position, the words' places).
 
     A token position inside a character has no char position (-1); ``room`` is
@@ -88,7 +88,7 @@ def boundaries(a: Automaton, words: list[str], lens: np.ndarray, room: int):
         if p - prev > max(1, room // 2):  # nothing at all for long: word ends, and tokens at characters
             for k in range(int(np.searchsorted(ends, prev, "right")), int(np.searchsorted(ends, p, "left")) + 1):
                 if lens[k] > 1:
-                    _fill(a, words[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
+                    _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
             inner = [q for q in range(prev + 1, p) if at_char[q] >= 0]
             out_p += inner
             out_l += [4] * len(inner)
@@ -97,29 +97,35 @@ def boundaries(a: Automaton, words: list[str], lens: np.ndarray, room: int):
     return np.array(out_p, dtype=np.int64), np.array(out_l, dtype=np.int64), at_char, starts, chars, ends
 
 
-def _fill(a: Automaton, word: str, token: int, char: int, at_char: np.ndarray) -> None:
+def _fill(a: Automaton, word: str, ids: bytes, token: int, char: int, at_char: np.ndarray) -> None:
     """Note which token positions inside a word lie between characters."""
-    raw, off = word.encode("utf-8", "surrogatepass"), 0
-    count = np.cumsum(np.array([0] + [(b & 0xC0) != 0x80 for b in raw], dtype=np.int64))
-    for i, t in enumerate(np.frombuffer(a.packed(word), dtype=np.int32).tolist()):
-        if i and (raw[off] & 0xC0) != 0x80:
-            at_char[token + i] = char + count[off]
-        off += len(a.labels[t])
+    at = np.cumsum([len(a.labels[t]) for t in np.frombuffer(ids, dtype=np.int32).tolist()])[:-1]
+    if word.isascii():
+        at_char[token + 1 : token + 1 + len(at)] = char + at
+        return
+    first = (np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8) & 0xC0) != 0x80
+    whole = np.flatnonzero(first[at])
+    at_char[token + 1 + whole] = char + np.cumsum(first)[at[whole]] - 1
 
 
-def _length(a: Automaton, text: str, x: int, y: int, s: int, p: int, words: list[str], ends, chars, inside: bool) -> int:
+def _length(a: Automaton, text: str, x: int, y: int, s: int, p: int, words: list[str], ends, starts, chars) -> int:
     """The length of the own encoding of text[x:y], tokens s to p of the whole.
 
-    Past the first words that are split as in the whole text both encodings are
-    the same, so only those are encoded again, or all if they are split otherwise.
+    A stretch of a path is a path: as long as the piece is pre-split where the
+    whole text is, it has the same tokens. Only the first words and the last can
+    be split otherwise; if they are, the piece is encoded again.
     """
-    if not inside:
-        k = int(np.searchsorted(ends, s, "right")) + 1
-        if k < len(words) and ends[k] < p:
-            head = split(text[x : chars[k]])
-            if head[-1] == words[k]:
-                return sum(map(len, map(a.packed, head))) // 4 + p - int(ends[k])
-    return len(a.encode(text[x:y]))
+    i = int(np.searchsorted(ends, s, "right"))  # the words in which the piece begins and ends
+    j = int(np.searchsorted(ends, p, "left"))
+    if j - i <= 2:
+        want = [text[max(x, int(chars[k]) - len(words[k])) : min(y, int(chars[k]))] for k in range(i, j + 1)]
+        same = split(text[x:y]) == want
+    else:
+        same = split(text[x : chars[i + 1]]) == [text[x : chars[i]], words[i + 1]]
+        if same and p < ends[j]:
+            tail = text[int(chars[j]) - len(words[j]) : y]
+            same = split(tail) == [tail]
+    return p - s if same else len(a.encode(text[x:y]))
 
 
 def _best(pos: np.ndarray, lev: np.ndarray, start: np.ndarray, limit: int, target: float) -> list[int] | None:
@@ -162,13 +168,15 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
     """
     if len(text) * 4 <= limit:  # a token has at least a byte, a character at most four
         return []
-    words, lens = a.word_lengths(text)
+    words = split(text)
+    packs = list(map(a.packed, words))
+    lens = np.fromiter(map(len, packs), dtype=np.int64, count=len(words)) >> 2
     if int(lens.sum()) <= limit:
         return []
     for slack in (0, 2, 4, 8, 16, 32, 64):
         if limit - slack - overlap < 8:
             break
-        pos, lev, at_char, starts, chars, ends = boundaries(a, words, lens, limit - slack - overlap)
+        pos, lev, at_char, starts, chars, ends = boundaries(a, words, packs, lens, limit - slack - overlap)
         total = int(ends[-1])
         begin = np.maximum(pos - overlap, 0)
 
@@ -176,7 +184,7 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
             """The token position at or before ``b`` that lies between characters."""
             while at_char[b] < 0:
                 k = int(np.searchsorted(ends, b, "right"))
-                _fill(a, words[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
+                _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
                 if at_char[b] < 0:
                     b -= 1
             return b
@@ -192,7 +200,7 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
         for k in plan:
             x, y = int(at_char[s]), int(at_char[pos[k]])
             p = int(pos[k])
-            out.append((x, y, _length(a, text, x, y, s, p, words, ends, chars, lev[k] == 4), "end" if p == total else LEVELS[lev[k]]))
+            out.append((x, y, _length(a, text, x, y, s, p, words, ends, starts, chars), "end" if p == total else LEVELS[lev[k]]))
             s = place(int(begin[k]))
         if all(p[2] <= limit for p in out):
             return out

@@ -145,11 +145,6 @@ class Automaton:
         """The text that a list of ids spells."""
         return b"".join(self.labels[int(i)] for i in ids).decode("utf-8", "replace")
 
-    def word_lengths(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The pre-split words of a text and how many tokens each has."""
-        words = split(text)
-        return words, np.fromiter(map(len, map(self.packed, words)), dtype=np.int64, count=len(words)) >> 2
-
 
 _unicode_split = regex.compile(PRE_SPLIT).findall
 _ascii_split = re.compile(ASCII_SPLIT).findall
