@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.llm import conversations, groups, history, mixing, neighbours, pii, splitting, tokens
+from lorequarry.llm import conversations, groups, history, mixing, neighbours, pii, splitting, tokens, validity
 from lorequarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,18 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(spark, load(spark, d, "turns"), load(spark, d, "sessions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.check_sources(load(spark, d, "source_files")).where("invalid").select("path").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(load(spark, d, "files"), load(spark, d, "source_files"), load(spark, d, "projects"))
+
+
+def p3_flags(spark: SparkSession, d: str) -> DataFrame:
+    return validity.file_flags(load(spark, d, "files"), load(spark, d, "source_files"), load(spark, d, "projects"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated_turns(spark, load(spark, d, "turns"), load(spark, d, "sessions"))
 
@@ -63,10 +75,46 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_redacted": p1_redacted,
         "p2_found": p2_found, "p2_conversations": p2_conversations,
+        "p3_found": p3_found, "p3_rates": p3_rates, "p3_flags": p3_flags,
         "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
         "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_pieces": p9_pieces,
     }
 
 
+# Connected components by a recursive query over the same links.
+P5 = """
+WITH RECURSIVE c AS (SELECT DISTINCT id FROM concepts_global WHERE id IS NOT NULL),
+e AS (SELECT a, b FROM concept_links WHERE replace(lower(trim(kind)), '-', '_') = 'same_as' AND a <> b AND a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r(x, y) AS (SELECT u, u FROM s UNION SELECT r.x, s.v FROM r JOIN s ON s.u = r.y)
+SELECT min(y) AS group_id, x AS concept_id FROM r GROUP BY x
+"""
+P2 = r"""
+WITH t AS (SELECT DISTINCT * FROM turns WHERE session_id IS NOT NULL),
+s AS (SELECT DISTINCT id FROM sessions WHERE id IS NOT NULL),
+k AS (SELECT session_id, count(*) AS n, count(idx) AS ni, count(DISTINCT idx) AS di, min(idx) AS lo, max(idx) AS hi,
+  count(ts) AS nt, count(DISTINCT ts) AS dt,
+  count(*) FILTER (coalesce(lower(trim(role)), '') NOT IN ('user', 'assistant', 'tool', 'system')) AS bad
+  FROM t GROUP BY session_id),
+m AS (SELECT t.session_id, lower(trim(role)) AS who, CASE WHEN k.ni > 0 THEN idx ELSE ts END AS pos
+  FROM t JOIN k ON k.session_id = t.session_id
+  WHERE lower(trim(role)) IN ('user', 'assistant') AND regexp_matches(coalesce(text, ''), '\S')),
+q AS (SELECT *, lead(who) OVER (PARTITION BY session_id ORDER BY pos) AS nxt FROM m),
+g AS (SELECT session_id, count(*) FILTER (who = 'user') AS us, count(*) FILTER (who = 'assistant') AS asst,
+  count(*) FILTER (who = 'user' AND coalesce(nxt, '') <> 'assistant') AS open FROM q GROUP BY session_id)
+SELECT s.id AS session_id FROM s LEFT JOIN k ON k.session_id = s.id LEFT JOIN g ON g.session_id = s.id
+WHERE k.n IS NULL OR (k.ni > 0 AND k.ni < k.n) OR (k.ni = k.n AND (k.di <> k.n OR k.lo <> 0 OR k.hi <> k.n - 1))
+  OR (k.ni = 0 AND (k.nt < k.n OR k.dt < k.n)) OR k.bad > 0 OR coalesce(g.us, 0) = 0 OR coalesce(g.asst, 0) = 0 OR g.open > 0
+"""
+P6 = """
+WITH n AS (SELECT id, embedding FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS r FROM concepts_global WHERE id IS NOT NULL) WHERE r = 1),
+v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM n WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+k AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p WHERE c >= 0.86)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k WHERE r <= 5
+"""
+P7_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2, "p5_found": P5, "p6_found": P6, "p7_decoded": P7_DECODED}
