@@ -57,3 +57,20 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     q.awaitTermination()
     remove(spark, ck)
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def hourly_complete(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """``hourly`` of a stream that is drained, each batch's whole result replacing the last."""
+    out, ck = shared_path(spark, "hourly"), shared_path(spark, "hourly-state")
+    e = events.where("ts is not null").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    h = e.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+    last: list[str] = []
+
+    def put(df: DataFrame, k: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/{k}")
+        last[:] = [f"{out}/{k}"]
+
+    q = h.writeStream.foreachBatch(put).option("checkpointLocation", ck).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    remove(spark, ck)
+    return spark.read.schema(h.schema).parquet(last[0]) if last else spark.createDataFrame([], h.schema)
