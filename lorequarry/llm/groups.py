@@ -14,6 +14,8 @@ from lorequarry.session import Stored
 #: Rounds of the frontier search after which a long tail (a chain, say) is left
 #: to the propagation, in which the visited part counts as one vertex.
 BFS_ROUNDS = 8
+#: How often a label is followed to its own label in one round.
+JUMPS = 3
 
 
 def clean_kind(col):
@@ -84,8 +86,10 @@ def _propagate(spark: SparkSession, edges: Stored) -> Stored:
         l = labels.df
         near = edges.df.join(l.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = l.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = l.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
-        nxt = Stored(spark, step.join(jump, "label", "left").select("u", "old", F.least("label", "beyond").alias("label")), "labels")
+        for _ in range(JUMPS):
+            jump = l.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
+            step = step.join(jump, "label", "left").select("u", "old", F.least("label", "beyond").alias("label"))
+        nxt = Stored(spark, step, "labels")
         changed = nxt.df.where("label < old").limit(1).count()
         labels.drop()
         labels = nxt

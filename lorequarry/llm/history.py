@@ -35,13 +35,8 @@ from lorequarry.session import Stored, exists, remove, shared_path
 WORD = re.compile(r"[^\W_]+")
 #: The order of coordinates is by counts in this many buckets, so its size does not grow with the data.
 ORDER_BUCKETS = 1 << 17
-#: Up to these many rows one side of a join is broadcast (about 64 bytes a row); more are joined by a shuffle.
-SESSIONS_BROADCAST, PROBES_BROADCAST, PAIRS_BROADCAST = 500_000, 400_000, 200_000
-
-
-def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+#: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
+SESSIONS_BROADCAST = 500_000
 
 
 def shingle_vector(text: str, shingle: int, min_words: int, cache: dict[str, int]) -> np.ndarray | None:
@@ -110,19 +105,37 @@ def coordinate_order(vecs: DataFrame) -> np.ndarray:
 
 
 class HistoryIndex:
-    """The cells and full vectors of everything accepted, kept in a folder."""
+    """The cells and full vectors of everything accepted, kept in a folder.
+
+    Both tables are bucketed by their key, so a batch is shuffled to where the
+    history lies and the history itself is never shuffled. Leaders are a
+    partition of their own.
+    """
 
     SETS = "set_id binary, n int, vec array<long>, leader boolean"
     CELLS = "cell long, set_id binary, n int, pos int, leader boolean"
 
-    def __init__(self, spark: SparkSession, order: np.ndarray, path: str | None = None, percent: int = 70):
+    def __init__(self, spark: SparkSession, order: np.ndarray, path: str | None = None, percent: int = 70, buckets: int | None = None):
         self.spark, self.percent = spark, percent
         self.path = path or shared_path(spark, "history")
         self.order = spark.sparkContext.broadcast(order)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables = {}
+        for what, schema, key in (("sets", self.SETS, "set_id"), ("cells", self.CELLS, "cell")):
+            name = f"history_{what}_{abs(hash(self.path)) % 10**12}"
+            known = exists(spark, f"{self.path}/{what}")
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet PARTITIONED BY (leader) "
+                f"CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{what}'"
+            )
+            if known:
+                spark.sql(f"MSCK REPAIR TABLE {name}")
+            self.tables[what] = name
 
-    def _read(self, what: str, schema: str) -> DataFrame | None:
-        p = f"{self.path}/{what}"
-        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(p) if exists(self.spark, p) else None
+    def drop(self) -> None:
+        """Forget the tables; the files in the folder stay."""
+        for t in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
     def _near(self, same: Column | int, a: Column, b: Column) -> Column:
         """Whether ``same`` shared coordinates are enough for sets of a and b ones."""
@@ -149,24 +162,19 @@ class HistoryIndex:
         s = sets.select("set_id", "n", "vec", "leader").mapInArrow(first, "set_id binary, n int, leader boolean, cells array<long>")
         return s.select(F.posexplode("cells").alias("pos", "cell"), "set_id", "n", "leader")
 
-    def _matches(self, probes: DataFrame, n_probes: int, cells: DataFrame, queries: DataFrame, full: DataFrame) -> Stored:
-        """(set_id) of the queries that have a near vector in the given cells.
-
-        The cells and full vectors of the history are scanned where they lie as
-        long as the batch's side is small enough to be sent to them.
-        """
+    def _matches(self, probes: DataFrame, cells: DataFrame, queries: DataFrame, full: DataFrame) -> Stored:
+        """(set_id) of the queries that have a near vector in the given cells."""
         q = probes.select("cell", F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
         h = cells.select("cell", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
         rest = F.least(F.col("qn") - F.col("qp"), F.col("hn") - F.col("hp"))
-        met = h.join(small(q, n_probes, PROBES_BROADCAST), "cell").where(
+        met = h.join(q.hint("shuffle_hash"), "cell").where(
             (100 * F.col("hn") >= self.percent * F.col("qn")) & (100 * F.col("qn") >= self.percent * F.col("hn")) & self._near(rest, F.col("qn"), F.col("hn"))
         )
         cand = Stored(self.spark, met.select("q", "h").distinct(), "candidates")
-        pairs = small(cand.df, cand.df.count(), PAIRS_BROADCAST)
-        b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv")).join(pairs, "h")
+        b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv")).join(cand.df.hint("shuffle_hash"), "h")
         a = queries.select(F.col("set_id").alias("q"), F.col("vec").alias("qv"))
         same = F.size(F.array_intersect("qv", "hv"))
-        near = b.join(a, "q").where(self._near(same, F.size("qv"), F.size("hv"))).select(F.col("q").alias("set_id")).distinct()
+        near = a.join(b, "q").where(self._near(same, F.size("qv"), F.size("hv"))).select(F.col("q").alias("set_id")).distinct()
         out = Stored(self.spark, near, "near")
         cand.drop()
         return out
@@ -176,34 +184,26 @@ class HistoryIndex:
 
         The result is written, so it stays what it was when later batches are appended.
         """
-        spark, rows = self.spark, batch.count()
-        sets, cells = self._read("sets", self.SETS), self._read("cells", self.CELLS)
+        spark = self.spark
+        sets, cells = spark.table(self.tables["sets"]), spark.table(self.tables["cells"])
         fresh = batch.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
-        if sets is None:
-            new = Stored(spark, fresh.withColumn("leader", F.lit(True)), "accepted")
-            self._append(new.df, self._probed(new.df))
-            new.drop()
-            return batch.select("set_id").limit(0)
-        ids = small(batch.select("set_id").distinct(), rows, PROBES_BROADCAST)
-        exact = Stored(spark, sets.select("set_id").join(ids, "set_id", "left_semi"), "repeats")
-        known = small(exact.df, rows, PROBES_BROADCAST)
-        new = Stored(spark, fresh.join(known, "set_id", "left_anti").withColumn("leader", F.lit(True)), "new-sets")
+        exact = Stored(spark, sets.select("set_id").join(batch.select("set_id").distinct().hint("shuffle_hash"), "set_id", "left_semi"), "repeats")
+        new = Stored(spark, fresh.join(exact.df, "set_id", "left_anti").withColumn("leader", F.lit(True)), "new-sets")
         probes = Stored(spark, self._probed(new.df), "probes")
-        n = probes.df.count()
-        first = self._matches(probes.df, n, cells.where("leader"), new.df, sets.where("leader"))
-        left = probes.df.join(small(first.df, rows, PROBES_BROADCAST), "set_id", "left_anti")
-        second = self._matches(left, n, cells.where("not leader"), new.df, sets.where("not leader"))
+        first = self._matches(probes.df, cells.where("leader"), new.df, sets.where("leader"))
+        left = probes.df.join(first.df, "set_id", "left_anti")
+        second = self._matches(left, cells.where("not leader"), new.df, sets.where("not leader"))
         near = first.df.union(second.df)
-        flagged = small(near.withColumn("near", F.lit(True)), rows, PROBES_BROADCAST)
+        flagged = near.withColumn("near", F.lit(True))
         lead = lambda df: df.join(flagged, "set_id", "left").withColumn("leader", F.col("near").isNull()).drop("near")
-        self._append(lead(new.df), lead(probes.df))
+        self._append("sets", lead(new.df).repartition(self.buckets, "set_id").select("set_id", "n", "vec", "leader"))
+        self._append("cells", lead(probes.df).repartition(self.buckets, "cell").select("cell", "set_id", "n", "pos", "leader"))
         new.drop()
         probes.drop()
         return exact.df.union(near)
 
-    def _append(self, sets: DataFrame, cells: DataFrame) -> None:
-        sets.select("set_id", "n", "vec", "leader").write.mode("append").parquet(f"{self.path}/sets")
-        cells.select("cell", "set_id", "n", "pos", "leader").write.mode("append").parquet(f"{self.path}/cells")
+    def _append(self, what: str, rows: DataFrame) -> None:
+        rows.write.insertInto(self.tables[what])
 
 
 def batches_of(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -226,6 +226,7 @@ def repeated_turns(spark: SparkSession, turns: DataFrame, sessions: DataFrame, s
         again = index.accept(docs.df.where(F.col("batch") == b).select("set_id", "n", "vec"))
         remove(spark, f"{docs.path}/batch={b}")  # its vectors are in the index now
         found.append(again.select(F.lit(b).alias("batch"), "set_id"))
+    index.drop()
     if not found:
         return light.df.select(F.col("doc_id").alias("turn_id"))
     hits = found[0]
