@@ -89,7 +89,11 @@ def boundaries(a: Automaton, words: list[str], packs: list[bytes], lens: np.ndar
             for k in range(int(np.searchsorted(ends, prev, "right")), int(np.searchsorted(ends, p, "left")) + 1):
                 if lens[k] > 1:
                     _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
-            inner = [q for q in range(prev + 1, p) if at_char[q] >= 0]
+            inner = (np.flatnonzero(at_char[prev + 1 : p] >= 0) + prev + 1).tolist()
+            # cuts between tokens all cost the same: some thirty in the reach of a piece are choice enough
+            if room >= 64:
+                grid = np.searchsorted(inner, np.arange(prev + 1, p, room // 32))
+                inner = [inner[i] for i in np.unique(grid[grid < len(inner)]).tolist()]
             out_p += inner
             out_l += [4] * len(inner)
         out_p.append(p), out_l.append(l)
@@ -178,13 +182,15 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
             break
         pos, lev, at_char, starts, chars, ends = boundaries(a, words, packs, lens, limit - slack - overlap)
         total = int(ends[-1])
-        begin = np.maximum(pos - overlap, 0)
+        begin, filled = np.maximum(pos - overlap, 0), set()
 
         def place(b: int) -> int:
             """The token position at or before ``b`` that lies between characters."""
             while at_char[b] < 0:
                 k = int(np.searchsorted(ends, b, "right"))
-                _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
+                if k not in filled:
+                    _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
+                    filled.add(k)
                 if at_char[b] < 0:
                     b -= 1
             return b
