@@ -4,12 +4,13 @@ A text is a sparse binary vector over its shingles (hashed word triples). The
 index is an inverted file that is kept in the shared folder: a cell per
 coordinate lists the vectors that have it among their first coordinates in a
 fixed order (rare ones first), and the full vectors lie beside the cells. A
-query probes the cells of its own coordinates in that order. After i cells
-without a match no vector left can share more than n - i of its n coordinates,
-so probing ends as soon as that bound on the distance rules out every nearer
-vector; the bound on a single candidate follows from the positions at which the
-two meet. What is left is ranked by exact Jaccard similarity, and the batch is
-appended to the cells. A batch reads the cells, never the earlier texts.
+query probes the cells of its own coordinates in that order. After i cells, a
+vector met in fewer than MEETINGS of them can share at most n - i + MEETINGS - 1
+of the query's n coordinates, so probing ends as soon as that bound on the
+distance rules out every nearer vector; the bound on a single candidate follows
+from the positions at which the two meet. What was met often enough is ranked by
+exact Jaccard similarity, and the batch is appended to the cells. A batch reads
+the cells, never the earlier texts.
 
 Vectors that had no earlier match are leaders. A query meets the leaders of its
 cells first and leaves with the first match; only queries without one go on to
@@ -35,6 +36,8 @@ from lorequarry.session import Stored, exists, remove, shared_path
 WORD = re.compile(r"[^\W_]+")
 #: The order of coordinates is by counts in this many buckets, so its size does not grow with the data.
 ORDER_BUCKETS = 1 << 17
+#: In how many probed cells a query and a vector must meet (in all they can share, if that is less).
+MEETINGS = 3
 #: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
 SESSIONS_BROADCAST = 500_000
 
@@ -153,7 +156,7 @@ class HistoryIndex:
                 out = []
                 for i in range(b.num_rows):
                     v = flat[offs[i] : offs[i + 1]]
-                    m = len(v) - -(-percent * len(v) // 100) + 1
+                    m = len(v) - -(-percent * len(v) // 100) + MEETINGS
                     out.append(v[np.lexsort((v, o[v % ORDER_BUCKETS]))[:m]])
                 lens = [len(v) for v in out]
                 cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
@@ -166,11 +169,14 @@ class HistoryIndex:
         """(set_id) of the queries that have a near vector in the given cells."""
         q = probes.select("cell", F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
         h = cells.select("cell", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-        rest = F.least(F.col("qn") - F.col("qp"), F.col("hn") - F.col("hp"))
+        # what both can share: coordinates before this cell, and from it on
+        rest = F.least("qp", "hp") + F.least(F.col("qn") - F.col("qp"), F.col("hn") - F.col("hp"))
+        needed = F.ceil(self.percent * (F.col("qn") + F.col("hn")) / (100 + self.percent))
         met = h.join(q.hint("shuffle_hash"), "cell").where(
             (100 * F.col("hn") >= self.percent * F.col("qn")) & (100 * F.col("qn") >= self.percent * F.col("hn")) & self._near(rest, F.col("qn"), F.col("hn"))
         )
-        cand = Stored(self.spark, met.select("q", "h").distinct(), "candidates")
+        often = met.groupBy("q", "h").agg(F.count("*").alias("met"), F.first(needed).alias("needed")).where(F.col("met") >= F.least(F.lit(MEETINGS), "needed"))
+        cand = Stored(self.spark, often.select("q", "h"), "candidates")
         b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv")).join(cand.df.hint("shuffle_hash"), "h")
         a = queries.select(F.col("set_id").alias("q"), F.col("vec").alias("qv"))
         same = F.size(F.array_intersect("qv", "hv"))
