@@ -35,7 +35,8 @@ from lorequarry.session import Stored, exists, remove, shared_path
 
 WORD = re.compile(r"[^\W_]+")
 #: The order of coordinates is by counts in this many buckets, so its size does not grow with the data.
-ORDER_BUCKETS = 1 << 17
+ORDER_BUCKETS = 1 << 20
+_CHUNK = 4096
 #: In how many probed cells a query and a vector must meet (in all they can share, if that is less).
 MEETINGS = 3
 #: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
@@ -95,16 +96,25 @@ def coordinate_order(vecs: DataFrame) -> np.ndarray:
     """How often the coordinates of each bucket occur: a fixed order for as long as the index lives."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+        total = np.zeros(ORDER_BUCKETS, dtype=np.int32)
         for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy() % ORDER_BUCKETS, minlength=ORDER_BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    rows = vecs.select("vec").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ORDER_BUCKETS, dtype=np.int64)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+            flat = b.column(0).flatten().to_numpy()
+            for at in range(0, len(flat), 1 << 20):
+                total += np.bincount(flat[at : at + (1 << 20)] % ORDER_BUCKETS, minlength=ORDER_BUCKETS).astype(np.int32)
+        parts = total.reshape(-1, _CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n"])
+
+    def add(table):
+        n = sum((np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in table.column("n").to_pylist()), np.zeros(_CHUNK, dtype=np.int64))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "n": pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    # one array of counts a task, so as few tasks as there are cores; the sum is as small as one array
+    few = vecs.select("vec").coalesce(vecs.sparkSession.sparkContext.defaultParallelism)
+    rows = few.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect()
+    out = np.zeros((ORDER_BUCKETS // _CHUNK, _CHUNK), dtype=np.int32)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(bytes(r["n"]), dtype=np.int32)
+    return out.reshape(-1)
 
 
 class HistoryIndex:
