@@ -15,7 +15,7 @@ from lorequarry.session import Stored
 #: to the propagation, in which the visited part counts as one vertex.
 BFS_ROUNDS = 8
 #: How often a label is followed to its own label in one round.
-JUMPS = 3
+JUMPS = 1
 
 
 def clean_kind(col):
@@ -85,7 +85,10 @@ def _propagate(spark: SparkSession, edges: Stored) -> Stored:
     while True:
         l = labels.df
         near = edges.df.join(l.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = l.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        seen = l.join(near, "u").select("u", "label", F.least("label", "near").alias("near"))
+        # what a vertex sees is handed to its label too, so whole trees move at once
+        hook = seen.groupBy(F.col("label").alias("u")).agg(F.min("near").alias("hook"))
+        step = seen.join(hook, "u", "left").select("u", F.col("label").alias("old"), F.least("near", "hook").alias("label"))
         for _ in range(JUMPS):
             jump = l.select(F.col("u").alias("label"), F.col("label").alias("beyond"))
             step = step.join(jump, "label", "left").select("u", "old", F.least("label", "beyond").alias("label"))
