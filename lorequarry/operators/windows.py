@@ -13,16 +13,22 @@ def segment(turns: DataFrame, max_turns: int = 12, max_chars: int = 8000) -> Dat
     An exchange is a user turn and what follows it. Turns past ``max_turns`` and
     those that begin past ``max_chars`` are left out, and so is an exchange
     without an answer or tool turn, and what comes before the first user turn.
-    Turns without idx are not ordered and take no part; null texts count as
-    empty. Windows partition by session, so a session is one sort.
+    Order is by idx, of turns that share one by id. Turns without idx come after
+    those of their session that have one, by ts and id, and count on from them (a
+    session that has none from 0). Null texts count as empty; exact repeats are the
+    caller's to drop. Windows partition by session, so a session is one sort.
     """
-    t = turns.where("idx is not null and session_id is not null").select("session_id", "idx", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    run = Window.partitionBy("session_id").orderBy("idx")
-    t = t.withColumn("exchange", F.sum((F.col("role") == "user").cast("int")).over(run)).where("exchange > 0")
-    w = Window.partitionBy("session_id", "exchange").orderBy("idx")
+    t = turns.where("session_id is not null").select("id", "session_id", "idx", "ts", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    late = F.when(F.col("idx").isNull(), F.col("ts"))
+    order = Window.partitionBy("session_id").orderBy(F.col("idx").asc_nulls_last(), late.asc_nulls_last(), "id")
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("n", F.row_number().over(order)).withColumn("exchange", F.sum((F.col("role") == "user").cast("int")).over(run))
+    counted = F.coalesce(F.max("idx").over(run), F.lit(-1)) + F.col("n") - F.count("idx").over(run)
+    t = t.withColumn("idx", F.coalesce("idx", counted.cast("int"))).where("exchange > 0")
+    w = Window.partitionBy("session_id", "exchange").orderBy("n")
     t = t.withColumn("k", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     kept = t.where((F.col("k") <= max_turns) & (F.col("before") < max_chars))
-    part = F.struct("idx", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
+    part = F.struct("n", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
     g = kept.groupBy("session_id", "exchange").agg(
         F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("n_turns"),
         F.bool_or(F.col("role").isin("assistant", "tool")).alias("answered"), F.array_sort(F.collect_list(part)).alias("parts"),

@@ -71,10 +71,8 @@ FROM g WHERE answered"""
 
 
 def _turns(spark, d):
-    """Turns with one row a (session, idx): repeated rows and clashing idx would make their order undefined."""
-    t = load(spark, d, "turns").select("id", "session_id", "idx", "role", "text", "ts", "raw").where("idx is not null")
-    first = t.groupBy("session_id", "idx").agg(F.min("id").alias("id"))
-    return t.join(first, ["session_id", "idx", "id"], "left_semi").dropDuplicates(["session_id", "idx", "id"])
+    """All turns, exact repeats as one."""
+    return load(spark, d, "turns").select("id", "session_id", "idx", "role", "text", "ts").distinct()
 
 
 _DEDUPE = "QUALIFY row_number() OVER (PARTITION BY session_id, idx ORDER BY id) = 1"

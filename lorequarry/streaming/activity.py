@@ -20,7 +20,7 @@ def debounced_segments(turns: DataFrame, out: str, checkpoint: str, seconds: int
         store, wins = f"{out}/turns", f"{out}/windows"
         old = spark.read.schema(df.schema).parquet(store) if exists(spark, store) else df.limit(0)
         touched = df.select("session_id").distinct()
-        every = old.join(touched, "session_id", "left_semi").unionByName(df).dropDuplicates(["session_id", "idx"])
+        every = old.join(touched, "session_id", "left_semi").unionByName(df).distinct()
         new = W.segment(every)
         if exists(spark, wins):
             new = new.join(spark.read.schema(new.schema).parquet(wins).select("window_id"), "window_id", "left_anti")
