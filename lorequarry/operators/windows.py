@@ -16,13 +16,15 @@ def segment(turns: DataFrame, max_turns: int = 12, max_chars: int = 8000) -> Dat
     Order is by idx, of turns that share one by id. Turns without idx come after
     those of their session that have one, by ts and id, and count on from them (a
     session that has none from 0). Null texts count as empty; exact repeats are the
-    caller's to drop. Windows partition by session, so a session is one sort.
+    caller's to drop. Roles count without blanks and case, the text shows them as
+    they are. Windows partition by session, so a session is one sort.
     """
     t = turns.where("session_id is not null").select("id", "session_id", "idx", "ts", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("is", F.lower(T.strip("role")))
     late = F.when(F.col("idx").isNull(), F.col("ts"))
     order = Window.partitionBy("session_id").orderBy(F.col("idx").asc_nulls_last(), late.asc_nulls_last(), "id")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("n", F.row_number().over(order)).withColumn("exchange", F.sum((F.col("role") == "user").cast("int")).over(run))
+    t = t.withColumn("n", F.row_number().over(order)).withColumn("exchange", F.sum((F.col("is") == "user").cast("int")).over(run))
     counted = F.coalesce(F.max("idx").over(run), F.lit(-1)) + F.col("n") - F.count("idx").over(run)
     t = t.withColumn("idx", F.coalesce("idx", counted.cast("int"))).where("exchange > 0")
     w = Window.partitionBy("session_id", "exchange").orderBy("n")
@@ -31,7 +33,7 @@ def segment(turns: DataFrame, max_turns: int = 12, max_chars: int = 8000) -> Dat
     part = F.struct("n", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
     g = kept.groupBy("session_id", "exchange").agg(
         F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("n_turns"),
-        F.bool_or(F.col("role").isin("assistant", "tool")).alias("answered"), F.array_sort(F.collect_list(part)).alias("parts"),
+        F.bool_or(F.col("is").isin("assistant", "tool")).alias("answered"), F.array_sort(F.collect_list(part)).alias("parts"),
     ).where("answered")
     text = T.strip(F.array_join(F.transform("parts", lambda p: p["line"]), "\n\n"))
     g = g.withColumn("text", text).withColumn("text_hash", F.sha1("text"))

@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 TURN = "id string, session_id string, idx int, role string, text string, ts long, raw string"
 
 
-def loop(turns, max_turns=12, max_chars=8000, role=lambda r: r or ""):
+def loop(turns, max_turns=12, max_chars=8000, role=lambda r: (r or "").strip().lower()):
     """(session_id, start_idx, end_idx, n_turns, text) of turns(id, session_id, idx, role, text, ts)."""
     out, sessions = [], {}
     for t in set(turns):
@@ -49,6 +49,11 @@ def test_sessions_without_idx_and_turns_that_share_one(spark):
     ]
 
 
+def test_roles_count_without_blanks_and_case(spark):
+    rows = [("a", "s", 0, " User", "q", 1, None), ("b", "s", 1, "ASSISTANT", "x", 2, None), ("c", "s", 2, "user\n", "r", 3, None), ("d", "s", 3, "Tool ", "y", 4, None)]
+    assert segmented(spark.createDataFrame(rows, TURN)) == [("s", 0, 1, 2, "[ User] q\n\n[ASSISTANT] x"), ("s", 2, 3, 2, "[user\n] r\n\n[Tool ] y")]
+
+
 def test_disordered_turns_match_the_loop(spark):
     random.seed(11)
     rows = []
@@ -56,7 +61,7 @@ def test_disordered_turns_match_the_loop(spark):
         kind = s % 4  # clean, no idx at all, some idx missing, some idx shared
         for i in range(random.randint(0, 14)):
             idx = i if kind == 0 else None if kind == 1 or kind == 2 and random.random() < 0.3 else i // 2 if kind == 3 else i
-            rows.append((f"{random.randint(0, 999)}-{s}-{i}", str(s), idx, random.choice(["user", "assistant", "tool", None]), "x" * random.randint(0, 40), random.choice([None, random.randint(0, 30)]), None))
+            rows.append((f"{random.randint(0, 999)}-{s}-{i}", str(s), idx, random.choice(["user", "assistant", "tool", None, " User", "ASSISTANT\n", "Tool "]), "x" * random.randint(0, 40), random.choice([None, random.randint(0, 30)]), None))
     for caps in ((4, 70), (12, 8000)):
         assert segmented(spark.createDataFrame(rows, TURN), *caps) == loop([r[:6] for r in rows], *caps)
 
