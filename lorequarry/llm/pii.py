@@ -129,7 +129,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PARTICLES = frozenset("van von vom de del della der den des di da dos du la le el al bin ben ibn ter ten zu zur o d mac mc st".split())
 #: Least mean log-odds of a term's sub-terms (of one written without a capital), and least bits that its company discloses.
 SUBTERM_MIN, SUBTERM_LOWER, BITS_MIN = 0.4, 1.3, 4.0
-#: A term that makes up more than this share of the corpus discloses nobody; there are fewer than 1 / share of them.
+#: A term that makes up more than this share of the corpus is frequent, and its company must disclose more; there are fewer than 1 / share of them.
 COMMON_SHARE, COMMON_LEAST = 1 / 32768, 8
 
 
@@ -149,8 +149,8 @@ def grams(term: str) -> list[str]:
 class NameModel:
     """Sub-term log-odds for given and family terms, from counts of the corpus and of known people."""
 
-    def __init__(self, given: set[str], family: set[str], neg: dict[str, float], common: frozenset[str] = frozenset()):
-        self.given, self.family, self.common = given, family, common
+    def __init__(self, given: set[str], family: set[str], neg: dict[str, float]):
+        self.given, self.family = given, family
         total = sum(neg.values())
         self.odds = []
         for pos in (given, family):
@@ -176,7 +176,7 @@ class NameModel:
                 k = (t in self.given) + 2 * (t in self.family)
                 if word[0].isupper():
                     k |= (self.score(t, 0) >= SUBTERM_MIN) + 2 * (self.score(t, 1) >= SUBTERM_MIN)
-            elif len(t) >= (4 if word[0].isupper() else 5) and t not in PARTICLES and t not in self.common:
+            elif len(t) >= (4 if word[0].isupper() else 5) and t not in PARTICLES:
                 least = SUBTERM_MIN if word[0].isupper() else SUBTERM_LOWER
                 k = (self.score(t, 0) >= least) + 2 * (self.score(t, 1) >= least)
             if k & 2 and t not in self.given and (t in self.family or self.score(t, 1) > self.score(t, 0)):
@@ -319,13 +319,15 @@ def scan_raw(raw: str, text: str | None, known: list[Item], model: NameModel) ->
 
 
 def vocabulary(turns: DataFrame) -> DataFrame:
-    """(term, n): how often each folded term occurs in all texts."""
+    """(term, n, caps): how often each folded term occurs in all texts, and how often of that with a capital."""
 
     def folded(c: Counter) -> pa.RecordBatch:
-        out: Counter = Counter()
+        out, caps = Counter(), Counter()
         for w, n in c.items():
-            out[fold(w)] += n
-        return pa.RecordBatch.from_pydict({"term": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+            t = fold(w)
+            out[t] += n
+            caps[t] += n * w[0].isupper()
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64()), "caps": pa.array([caps[t] for t in out], pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -337,8 +339,8 @@ def vocabulary(turns: DataFrame) -> DataFrame:
                 c = Counter()
         yield folded(c)
 
-    per = turns.where("text is not null").select("text").mapInArrow(count, "term string, n long")
-    return per.groupBy("term").agg(F.sum("n").alias("n"))
+    per = turns.where("text is not null").select("text").mapInArrow(count, "term string, n long, caps long")
+    return per.groupBy("term").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
 
 
 def _gram_weights(vocab: DataFrame, exclude) -> dict[str, float]:
@@ -351,6 +353,12 @@ def _gram_weights(vocab: DataFrame, exclude) -> dict[str, float]:
     return {r["g"]: r["w"] for r in g.groupBy("g").agg(F.sum("w").alias("w")).collect()}
 
 
+def often(vocab: DataFrame) -> tuple[int, float]:
+    """(words of the corpus, occurrences above which a term is frequent)."""
+    total = vocab.agg(F.sum("n")).collect()[0][0] or 0
+    return total, max(COMMON_LEAST, total * COMMON_SHARE)
+
+
 def fit_names(spark: SparkSession, vocab: DataFrame, people: DataFrame) -> NameModel:
     """The sub-term model. People is a small fixed table; of the corpus only trigram counts reach the driver."""
     rows = people.select("given_name", "family_name").limit(100_000).collect()
@@ -364,13 +372,11 @@ def fit_names(spark: SparkSession, vocab: DataFrame, people: DataFrame) -> NameM
         m = first.value
         return term.map(lambda t: m.kind(t) > 0)
 
-    total = vocab.agg(F.sum("n")).collect()[0][0] or 0
-    limit = max(COMMON_LEAST, total * COMMON_SHARE)
-    common = frozenset(r["term"] for r in vocab.where(F.col("n") > limit).select("term").collect())
+    limit = often(vocab)[1]
     a, b = _gram_weights(vocab.where(F.col("n") > limit), None), _gram_weights(vocab.where(F.col("n") <= limit), reveals)
     for g, w in b.items():
         a[g] = a.get(g, 0.0) + w
-    return NameModel(given, family, a, common - given - family)
+    return NameModel(given, family, a)
 
 
 ITEMS = "turn_id string, field string, items array<struct<start:int,stop:int,kind:string,given:string,family:string>>"
@@ -400,21 +406,26 @@ def items(turns: DataFrame, model: NameModel) -> DataFrame:
     return turns.select("id", "text", "raw").mapInArrow(run, ITEMS)
 
 
-def disclosure(cands: DataFrame, vocab: DataFrame) -> DataFrame:
+def disclosure(cands: DataFrame, vocab: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
     """(term, bits): how many bits of surprise there are in the company a term keeps.
 
     bits = log2 of (share of a term's occurrences that stand in a candidate
-    pair) / (that share over the whole corpus). Terms of known people pass.
+    pair) / (that share over the whole corpus). Terms of known people pass. A
+    fixed phrase also keeps one company, so of a frequent term only pairs of two
+    whole terms count, and none if it is mostly written without a capital; the
+    pairs of frequent terms are left out of the share over the whole corpus.
     """
-    x = cands.select("field", F.explode("items").alias("i")).where("i.kind = 'name'")
-    t = x.select("field", F.explode(F.array("i.given", "i.family")).alias("term")).where("term <> ''").groupBy("term").agg(
-        F.count_if(F.col("field") == "text").alias("in_text"), F.count("*").alias("both")
-    )
-    total = vocab.agg(F.sum("n")).collect()[0][0] or 1
-    pairs = x.where("field = 'text'").count() or 1
-    base = 2.0 * pairs / total
+    total, limit = often(vocab)
+    x = cands.select("field", F.explode("items").alias("i")).where("i.kind = 'name'").select("field", "i.given", "i.family")
+    in_text = F.col("field") == "text"
+    t = x.select("field", (F.col("given") != "").alias("whole"), F.explode(F.array("given", "family")).alias("term")).where("term <> ''")
+    t = t.groupBy("term").agg(F.count_if(in_text).alias("in_text"), F.count_if(in_text & F.col("whole")).alias("whole"))
+    frequent = vocab.where((F.col("n") > limit) & ~F.col("term").isin(sorted(known))).select("term")
+    rest = x.where(in_text).join(frequent.withColumnRenamed("term", "given"), "given", "left_anti").join(frequent.withColumnRenamed("term", "family"), "family", "left_anti")
+    base = 2.0 * (rest.count() or 1) / (total or 1)
     v = t.join(vocab, "term", "left")
-    share = F.when(F.col("n").isNull(), F.lit(1.0)).otherwise((F.col("in_text") + 0.5) / (F.col("n") + 1.0))
+    pairs = F.when(F.col("n") <= limit, F.col("in_text")).when(2 * F.col("caps") >= F.col("n"), F.col("whole")).otherwise(F.lit(0))
+    share = F.when(F.col("n").isNull(), F.lit(1.0)).otherwise((pairs + 0.5) / (F.col("n") + 1.0))
     return v.select("term", F.log2(share / F.lit(base)).alias("bits"), share.alias("share"))
 
 
@@ -428,8 +439,8 @@ def find(spark: SparkSession, turns: DataFrame, people: DataFrame) -> DataFrame:
     vocab = Stored(spark, vocabulary(turns), "vocabulary")
     model = fit_names(spark, vocab.df, people)
     cands = Stored(spark, items(turns, model), "items")
-    bits = disclosure(cands.df, vocab.df)
     known = sorted(model.given | model.family)  # of the people table, a small fixed one
+    bits = disclosure(cands.df, vocab.df, frozenset(known))
     bits = bits.where(~F.col("term").isin(known)) if known else bits
     weak = Stored(spark, bits.where((F.col("bits") < BITS_MIN) | (F.col("share") < SHARE_MIN)).select("term"), "weak")
     flat = cands.df.select("turn_id", "field", F.explode("items").alias("i")).select("turn_id", "field", "i.*").distinct()
