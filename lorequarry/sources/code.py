@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from collections.abc import Iterator
 
@@ -30,11 +31,26 @@ SYMBOLS = {
 }
 
 
+_PY_BLANK = re.compile(r"#[^\n]*|(\"\"\"|\'\'\')[\s\S]*?\1|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+_PY_LINES = [(re.compile(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"), "function"), (re.compile(r"(?m)^[ \t]*class[ \t]+(\w+)"), "class"), (re.compile(r"(?m)^[ \t]*from[ \t]+\.*([\w.]*)[ \t]+import\b"), "import")]
+_PY_IMPORT = re.compile(r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)")
+_PY_CALL = re.compile(r"(?<!\bdef )(?<!\bclass )\b([^\W\d]\w*)[ \t]*\(")
+
+
+def _python_lines(source: str) -> list[tuple[str, str, int]]:
+    """What can be read of a source that does not parse: defining lines, imports and calls outside strings and comments."""
+    clean = _PY_BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    line = lambda m: clean.count("\n", 0, m.start(1)) + 1
+    out = [(m[1] or ".", kind, line(m)) for rx, kind in _PY_LINES for m in rx.finditer(clean)]
+    out += [(n.split()[0], "import", line(m)) for m in _PY_IMPORT.finditer(clean) for n in m[1].split(",")]
+    return out + [(m[1], "call", line(m)) for m in _PY_CALL.finditer(clean) if not keyword.iskeyword(m[1])]
+
+
 def _python_symbols(source: str) -> list[tuple[str, str, int]]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return _python_lines(source)
     out = []
     for n in ast.walk(tree):
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -98,7 +114,7 @@ def symbols(sources: DataFrame) -> DataFrame:
     """(path, language, kind, name, line) of ``sources(path, source)``.
 
     Python by its syntax tree, SQL by its definitions, other languages by their
-    defining lines. A source that does not parse gives what can be read of it.
+    defining lines, and so is Python that does not parse. Calls are read of Python only.
     """
     rx = {k: [(re.compile(p), kind) for p, kind in v] for k, v in SYMBOLS.items()}
 
