@@ -27,6 +27,18 @@ def clean_source(col: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(col, r"(?U)^\s+|\s+$", "")), "- ", "__")
 
 
+#: A table of settings (targets, limits, known people) may have this many rows; a larger one is refused.
+SETTINGS_ROWS = 100_000
+
+
+def settings(table: DataFrame) -> list:
+    """The rows of a small table of settings; one that is not small is an error, never cut."""
+    rows = table.limit(SETTINGS_ROWS + 1).collect()
+    if len(rows) > SETTINGS_ROWS:
+        raise ValueError(f"a table of settings with more than {SETTINGS_ROWS} rows")
+    return rows
+
+
 def water_fill(total: float, weights: dict[str, float], caps: dict[str, float]) -> dict[str, float]:
     """The share of ``total`` that each source gets: its weight's part, at most its cap."""
     out = {s: 0.0 for s in weights}
@@ -46,7 +58,8 @@ def water_fill(total: float, weights: dict[str, float], caps: dict[str, float])
 
 def _parts(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: int | None, seed: int, path: str | None):
     """The counted documents, the plan per source (a driver-side table as small as ``targets``) and its frame."""
-    goal = {r["s"]: (r["share"] or 0.0, r["cap"] or 0) for r in targets.where("source is not null").groupBy(clean_source(F.col("source")).alias("s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(100_000).collect()}
+    per = targets.where("source is not null").groupBy(clean_source(F.col("source")).alias("s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+    goal = {r["s"]: (r["share"] or 0.0, r["cap"] or 0) for r in settings(per)}
     named = docs.select("doc_id", "text", clean_source(F.col("source")).alias("source")).where(F.col("source").isin(list(goal)) & F.col("text").isNotNull())
     counted = token_counts(named, ["doc_id", "source"], path).where("n_tokens > 0")
     store = Stored(spark, counted.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")), "token-counts")

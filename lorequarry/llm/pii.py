@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.llm.mixing import settings
 from lorequarry.session import Stored
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -361,7 +362,7 @@ def often(vocab: DataFrame) -> tuple[int, float]:
 
 def fit_names(spark: SparkSession, vocab: DataFrame, people: DataFrame) -> NameModel:
     """The sub-term model. People is a small fixed table; of the corpus only trigram counts reach the driver."""
-    rows = people.select("given_name", "family_name").limit(100_000).collect()
+    rows = settings(people.select("given_name", "family_name"))
     given = {fold(w) for r in rows if r[0] for w in WORD.findall(r[0]) if len(w) > 2}
     family = {fold(w) for r in rows if r[1] for w in WORD.findall(r[1]) if len(w) > 3 and fold(w) not in PARTICLES}
     model = NameModel(given, family, _gram_weights(vocab, None))

@@ -8,7 +8,9 @@ to the limit and to the overlap of consecutive pieces.
 Defined cases: null, empty and short texts give no pieces; a source without a
 limit takes that of the null source, or stays whole if there is none; a run of
 any length without boundaries is cut between tokens, never inside a character;
-an overlap start that would lie inside a character moves back to its beginning.
+an overlap start that would lie inside a character moves back to its beginning; a
+text for which the pre-split at the cuts leaves no pieces within the limit gives
+one row with piece -1, boundary ``unsplit`` and a null text.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.mixing import clean_source
+from lorequarry.llm.mixing import clean_source, settings
 from lorequarry.llm.tokens import Automaton, automaton, split
 
 LEVELS = ("paragraph", "line", "sentence", "word", "token")
@@ -48,17 +50,17 @@ class _Shapes(dict):
 _shape = _Shapes().__getitem__
 
 
-def boundaries(a: Automaton, words: list[str], packs: list[bytes], lens: np.ndarray, room: int):
+def boundaries(a: Automaton, text: str, words: list[str], packs: list[bytes], lens: np.ndarray):
     """(token positions of the candidate cuts, their levels, the char position at each token position, the words' places).
 
-    A token position inside a character has no char position (-1); ``room`` is
-    how far one piece can move on.
+    Every position between two tokens that lies between characters is a
+    candidate; one inside a character has no char position (-1).
     """
     ends = np.cumsum(lens)
     chars = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
     c = np.fromiter(map(_shape, words), dtype=np.int64, count=len(words))
     nxt, after = np.append(c[1:], 0), np.append(c[2:], [0, 0])[: len(c)]
-    level = np.full(len(words), -1, dtype=np.int64)  # of the cut behind each word
+    level = np.full(len(words), 4, dtype=np.int64)  # of the cut behind each word
     broken, space = (nxt & 1) > 0, (nxt & 2) > 0
     level[(c & 16) > 0] = 2
     level[space] = 3
@@ -66,50 +68,20 @@ def boundaries(a: Automaton, words: list[str], packs: list[bytes], lens: np.ndar
     # a cut goes before the white space: so a piece ends in the tokens that the whole text has there
     level[broken] = 1
     level[broken & (((nxt & 8) > 0) | ((after & 1) > 0))] = 0
-    level[(c & 1) > 0] = -1
-    level[-1] = -1
-    total = int(ends[-1])
-    at_char = np.full(total + 1, -1, dtype=np.int64)
-    at_char[0] = 0
-    at_char[ends] = chars
-    natural = np.flatnonzero((level >= 0) & (level <= 2))
-    keep = set(natural.tolist())
-    prev = 0
-    for e in [*ends[natural].tolist(), total]:  # words count only where nothing better is near
-        if e - prev > max(1, room // 4):
-            lo, hi = np.searchsorted(ends, prev, "right"), np.searchsorted(ends, e, "left")
-            keep.update(k for k in range(lo, hi) if level[k] == 3)
-        prev = e
-    idx = np.array(sorted(keep), dtype=np.int64)
-    pos, lev = ends[idx].tolist(), level[idx].tolist()
-    starts = ends - lens
-    out_p, out_l, prev = [], [], 0
-    for p, l in [*zip(pos, lev), (total, 0)]:
-        if p - prev > max(1, room // 2):  # nothing at all for long: word ends, and tokens at characters
-            for k in range(int(np.searchsorted(ends, prev, "right")), int(np.searchsorted(ends, p, "left")) + 1):
-                if lens[k] > 1:
-                    _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
-            inner = (np.flatnonzero(at_char[prev + 1 : p] >= 0) + prev + 1).tolist()
-            # cuts between tokens all cost the same: some thirty in the reach of a piece are choice enough
-            if room >= 64:
-                grid = np.searchsorted(inner, np.arange(prev + 1, p, room // 32))
-                inner = [inner[i] for i in np.unique(grid[grid < len(inner)]).tolist()]
-            out_p += inner
-            out_l += [4] * len(inner)
-        out_p.append(p), out_l.append(l)
-        prev = p
-    return np.array(out_p, dtype=np.int64), np.array(out_l, dtype=np.int64), at_char, starts, chars, ends
-
-
-def _fill(a: Automaton, word: str, ids: bytes, token: int, char: int, at_char: np.ndarray) -> None:
-    """Note which token positions inside a word lie between characters."""
-    at = np.cumsum([len(a.labels[t]) for t in np.frombuffer(ids, dtype=np.int32).tolist()])[:-1]
-    if word.isascii():
-        at_char[token + 1 : token + 1 + len(at)] = char + at
-        return
-    first = (np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8) & 0xC0) != 0x80
-    whole = np.flatnonzero(first[at])
-    at_char[token + 1 + whole] = char + np.cumsum(first)[at[whole]] - 1
+    level[(c & 1) > 0] = 4
+    at_byte = np.cumsum(a.sizes[np.frombuffer(b"".join(packs), dtype=np.int32)])
+    at_char = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
+    if text.isascii():
+        at_char[1:] = at_byte
+    else:
+        first = (np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) & 0xC0) != 0x80
+        inside = np.append(~first, False)[at_byte]
+        at_char[1:] = np.where(inside, -1, np.append(np.cumsum(first) - 1, first.sum())[at_byte])
+    levels = np.full(len(at_char), 4, dtype=np.int64)
+    levels[ends] = level
+    pos = np.flatnonzero(at_char[1:] >= 0) + 1
+    levels[-1] = 0
+    return pos, levels[pos], at_char, ends - lens, chars, ends
 
 
 def _length(a: Automaton, text: str, x: int, y: int, s: int, p: int, words: list[str], ends, starts, chars) -> int:
@@ -132,34 +104,80 @@ def _length(a: Automaton, text: str, x: int, y: int, s: int, p: int, words: list
     return p - s if same else len(a.encode(text[x:y]))
 
 
-def _best(pos: np.ndarray, lev: np.ndarray, start: np.ndarray, limit: int, target: float) -> list[int] | None:
-    """Indices of the cuts with the least cost, the end included."""
-    n = len(pos)
-    cost, back = np.full(n + 1, np.inf), np.full(n + 1, -1, dtype=np.int64)  # 0: the beginning, k + 1: behind pos[k]
-    cost[0] = 0.0
-    s = np.concatenate([[0], start]).astype(np.float64)
-    scale = IMBALANCE / limit**2
-    pen = PENALTY[lev].copy()
-    pen[-1] = 0.0
-    lo = 0
-    for k in range(n):
-        p = pos[k]
-        while s[lo] < p - limit:
-            lo += 1
-        if lo > k:
+def _needed(pos: np.ndarray, lev: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """Which cuts can be part of a plan of least cost.
+
+    Let a token cut j lie between cuts h and i of a better level with L tokens
+    between them, and w = IMBALANCE / limit^2. Reaching h costs at most
+    w * 2 * L * limit more imbalance than reaching j, and reaching i by a short
+    piece from h at most IMBALANCE more. So going on from i costs less than going
+    on from j whatever comes, if what j's level costs more than both, and
+    IMBALANCE, exceeds the imbalance by which the lengths can differ, 4 * w * (L + 2) * limit;
+    and a piece that ends before i begins better at h. Such cuts are left out;
+    the plan's cost is that over all positions.
+    """
+    token = lev == 4
+    spare = (PENALTY[4] - 2 * PENALTY[3] - IMBALANCE) / IMBALANCE
+    good = np.flatnonzero(~token)
+    if not len(good) or spare <= 0:
+        return np.ones(len(pos), dtype=bool)
+    where = np.concatenate([[0], pos[good]])
+    after = np.searchsorted(where, pos, "left")  # the end is a good cut, so there is always one
+    gap = where[after] - where[np.maximum(after - 1, 0)]
+    return ~token | (4 * (gap + 2) > spare * limit) | (overlap + gap + 4 > limit)
+
+
+def _best(pos: list[int], pen: list[float], start: list[int], limit: int, target: float) -> list[int] | None:
+    """Indices of the cuts with the least cost, the end included.
+
+    The cost of a piece is convex in its length and infinite beyond the limit,
+    so of two beginnings the later one, once better, stays better. Beginnings
+    wait in a queue in the order in which they become the best; what is never
+    the best is dropped when a later one comes. Each enters and leaves once.
+    """
+    unit = limit**2 / IMBALANCE  # costs are kept in units of the squared imbalance
+    back, end = [-1] * len(pos), len(pos) - 1
+    # of the waiting beginnings: the place, the cost so far, that cost + (place + target)^2, the cut, and where it takes over
+    at, cost, level, cut, turn = [0], [0.0], [target * target], [-1], [0.0]
+    head, tail = 0, 0
+    for k, (p, b, extra) in enumerate(zip(pos, start, pen)):
+        while head < tail and turn[head + 1] <= p:
+            head += 1
+        x = p - at[head]
+        if x > limit:
             return None
-        c = s[lo : k + 1] - (p - target)
-        c *= c
-        c *= scale
-        c += cost[lo : k + 1]
-        i = int(c.argmin())
-        cost[k + 1], back[k + 1] = c[i] + pen[k], lo + i
-    if not np.isfinite(cost[n]):
-        return None
-    out, k = [], n
-    while k > 0:
-        out.append(k - 1)
-        k = int(back[k])
+        back[k] = cut[head]
+        if k == end:
+            break
+        x -= target
+        c = cost[head] + x * x + extra * unit
+        if at[tail] == b:  # the same beginning: the cheaper one stays
+            if cost[tail] <= c:
+                continue
+            del at[tail], cost[tail], level[tail], cut[tail], turn[tail]
+            tail -= 1
+        x = b + target
+        x = c + x * x
+        here = 0.0
+        while tail >= head:
+            s = at[tail]
+            here = (x - level[tail]) / (2 * (b - s))  # where both cost the same, or the earlier one is out of reach
+            if here > s + limit + 1:
+                here = s + limit + 1
+            if tail == head or turn[tail] < here:
+                break
+            del at[tail], cost[tail], level[tail], cut[tail], turn[tail]
+            tail -= 1
+        at.append(b)
+        cost.append(c)
+        level.append(x)
+        cut.append(k)
+        turn.append(here)
+        tail += 1
+    out, k = [], end
+    while k >= 0:
+        out.append(k)
+        k = back[k]
     return out[::-1]
 
 
@@ -177,37 +195,27 @@ def pieces(a: Automaton, text: str, limit: int, overlap: int) -> list[tuple[int,
     lens = np.fromiter(map(len, packs), dtype=np.int64, count=len(words)) >> 2
     if int(lens.sum()) <= limit:
         return []
+    pos, lev, at_char, starts, chars, ends = boundaries(a, text, words, packs, lens)
+    total = int(ends[-1])
+    # a piece begins ``overlap`` tokens before the cut, or where the character there begins
+    whole = np.maximum.accumulate(np.where(at_char >= 0, np.arange(total + 1), 0))
+    begin = whole[np.maximum(pos - overlap, 0)]
     for slack in (0, 2, 4, 8, 16, 32, 64):
         if limit - slack - overlap < 8:
             break
-        pos, lev, at_char, starts, chars, ends = boundaries(a, words, packs, lens, limit - slack - overlap)
-        total = int(ends[-1])
-        begin, filled = np.maximum(pos - overlap, 0), set()
-
-        def place(b: int) -> int:
-            """The token position at or before ``b`` that lies between characters."""
-            while at_char[b] < 0:
-                k = int(np.searchsorted(ends, b, "right"))
-                if k not in filled:
-                    _fill(a, words[k], packs[k], int(starts[k]), int(chars[k]) - len(words[k]), at_char)
-                    filled.add(k)
-                if at_char[b] < 0:
-                    b -= 1
-            return b
-
-        if not text.isascii():  # in ASCII every token ends between characters
-            begin = np.array([place(b) for b in begin.tolist()], dtype=np.int64)
         room = limit - slack
         count = max(2, -(-(total - overlap) // (room - overlap)))
-        plan = _best(pos, lev, begin, room, (total + (count - 1) * overlap) / count)
+        keep = _needed(pos, lev, room, overlap)
+        at, level, back = pos[keep].tolist(), lev[keep], begin[keep].tolist()
+        plan = _best(at, PENALTY[level].tolist(), back, room, (total + (count - 1) * overlap) / count)
         if plan is None:
             continue
         out, s = [], 0
         for k in plan:
-            x, y = int(at_char[s]), int(at_char[pos[k]])
-            p = int(pos[k])
-            out.append((x, y, _length(a, text, x, y, s, p, words, ends, starts, chars), "end" if p == total else LEVELS[lev[k]]))
-            s = place(int(begin[k]))
+            p = at[k]
+            x, y = int(at_char[s]), int(at_char[p])
+            out.append((x, y, _length(a, text, x, y, s, p, words, ends, starts, chars), "end" if p == total else LEVELS[level[k]]))
+            s = back[k]
         if all(p[2] <= limit for p in out):
             return out
     raise ValueError(f"no pieces within {limit} tokens that share {overlap}")
@@ -219,7 +227,7 @@ def split_documents(docs: DataFrame, limits: DataFrame, path: str | None = None)
     ``limits(source, max_tokens, overlap_tokens)`` is a small table of settings;
     it goes to the workers as a dictionary. There is no shuffle.
     """
-    rows = limits.select(clean_source(F.col("source")).alias("s"), "max_tokens", "overlap_tokens").limit(100_000).collect()
+    rows = settings(limits.select(clean_source(F.col("source")).alias("s"), "max_tokens", "overlap_tokens"))
     by = {r["s"]: (int(r["max_tokens"]), int(r["overlap_tokens"] or 0)) for r in rows if r["max_tokens"] is not None}
     for s, (m, o) in by.items():
         if o < 0 or m - o < 8:
@@ -239,7 +247,13 @@ def split_documents(docs: DataFrame, limits: DataFrame, path: str | None = None)
                 lim = by.get(source, by.get(None))
                 if not text or lim is None:
                     continue
-                for i, (x, y, n, kind) in enumerate(pieces(a, text, *lim)):
+                try:
+                    got = pieces(a, text, *lim)
+                except ValueError:  # one text must not fail the job
+                    for c, v in zip(cols, (doc, -1, 0, len(text), None, "unsplit", None)):
+                        c.append(v)
+                    continue
+                for i, (x, y, n, kind) in enumerate(got):
                     for c, v in zip(cols, (doc, i, x, y, n, kind, text[x:y])):
                         c.append(v)
                 if len(cols[0]) > 4000:

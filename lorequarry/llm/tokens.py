@@ -90,6 +90,9 @@ class Automaton:
             for byte in self.labels[i]:
                 node = node.setdefault(byte, {})
             node[-1] = i
+        self.sizes = np.zeros(max(self.labels, default=-1) + 1, dtype=np.int64)  # bytes of each label
+        for i, s in self.labels.items():
+            self.sizes[i] = len(s)
         self.words = _Words(self)
         self.packed = self.words.__getitem__  # the ids of one pre-split word as int32 bytes
 

@@ -301,3 +301,57 @@ def test_split_documents(spark):
     assert {x.doc_id for x in r} == {2} and all(x.n_tokens <= 100 for x in r)
     with pytest.raises(ValueError):
         splitting.split_documents(docs, spark.createDataFrame([("a", 10, 10)], lim.schema))
+
+
+@needs_tokens
+def test_plan_costs_as_little_as_over_all_positions():
+    a, rnd = tokens.automaton(), random.Random(9)
+    words = ["alpha", "beta.", "gamma,\n", "delta!\n\n", "ünïcödé", "x" * 70, "日本語の文。", "a_b/c", "😀"]
+    for _ in range(60):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", ""]) for _ in range(rnd.randint(150, 500)))
+        limit = rnd.choice([24, 48, 96, 200])
+        overlap = rnd.choice([0, 4, limit // 4, limit - 10])
+        w = splitting.split(text)
+        packs = list(map(a.packed, w))
+        lens = np.array([len(p) >> 2 for p in packs])
+        pos, lev, at_char, *_ = splitting.boundaries(a, text, w, packs, lens)
+        assert all(len(text[: at_char[p]].encode()) == sum(map(len, map(a.labels.get, np.frombuffer(b"".join(packs), dtype=np.int32)[:p].tolist()))) for p in pos[:: max(1, len(pos) // 20)])
+        assert set(pos.tolist()) == set(np.flatnonzero(at_char[1:] >= 0) + 1)
+        whole, total = {0, *pos.tolist()}, int(pos[-1])
+        begin = [next(q for q in range(max(p - overlap, 0), -1, -1) if q in whole) for p in pos.tolist()]
+        pen, target = splitting.PENALTY[lev].copy(), (total + overlap) / max(2, -(-(total - overlap) // (limit - overlap)))
+        pen[-1] = 0
+        scale, s = splitting.IMBALANCE / limit**2, np.array([0, *begin])
+        cost = np.append(0.0, np.full(len(pos), np.inf))
+        for k, p in enumerate(pos.tolist()):  # every earlier position is tried
+            c = np.where(p - s[: k + 1] <= limit, cost[: k + 1] + scale * (p - s[: k + 1] - target) ** 2, np.inf)
+            cost[k + 1] = c.min() + pen[k]
+        keep = splitting._needed(pos, lev, limit, overlap)
+        back = np.array(begin)[keep].tolist()
+        plan = splitting._best(pos[keep].tolist(), splitting.PENALTY[lev[keep]].tolist(), back, limit, target)
+        got, at = 0.0, 0
+        for k in plan:
+            p = int(pos[keep][k])
+            assert p - at <= limit
+            got += scale * (p - at - target) ** 2 + (pen[keep][k] if p != total else 0)
+            at = back[k]
+        assert got == pytest.approx(cost[-1], abs=1e-9)
+
+
+@needs_tokens
+def test_a_text_without_plan_gives_an_error_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "word " * 300, "a")], "doc_id long, text string, source string")
+    lim = spark.createDataFrame([("a", 100, 10)], "source string, max_tokens int, overlap_tokens int")
+    a = tokens.automaton()
+    monkeypatch.setattr(splitting, "_best", lambda *x: None)
+    with pytest.raises(ValueError):
+        splitting.pieces(a, "word " * 300, 100, 10)
+    monkeypatch.undo()
+    assert splitting.split_documents(docs, lim).count() > 3
+
+
+def test_settings_are_never_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SETTINGS_ROWS", 3)
+    assert len(mixing.settings(spark.range(3))) == 3
+    with pytest.raises(ValueError):
+        mixing.settings(spark.range(4))
