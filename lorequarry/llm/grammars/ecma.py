@@ -85,14 +85,18 @@ MemberName <- /#[\w$]+/ / PropName
 PropName <- Word / Str / Num / '[' Assign ']'
 
 Expr <- Assign (',' Assign)*
-Assign <- Arrow / Yield / Binary
+Assign <- Arrow / Yield / Place !NoOp AssignOp Assign / Binary
+AssignOp <- /(?:>>>|<<|>>|\*\*|&&|\|\||\?\?|[+\-*\/%&|^])?=(?![=>])/
+Place <- Primary (Suffix &Suffix)* LastSuffix / Ident / Arr / Obj / '(' Expr ')'
+@js LastSuffix <- '?.' ('[' Expr ']' / MemberName) / '.' !/\./ (/#[\w$]+/ / Word) / '[' Expr ']'
+@ts LastSuffix <- '?.' ('[' Expr ']' / MemberName) / '.' !/\./ (/#[\w$]+/ / Word) / '[' Expr ']' / '!' !~/=/
 Yield <- "yield" (!NL '*'? Assign)?
 Binary <- Unary (!NoOp BinOp Assign0 / '?' !/[.](?!\d)/ Assign ':' Assign / AsType)*
 Assign0 <- Arrow / Yield / Unary
 @js AsType <- !Word Word
 @ts AsType <- !NL /(?:as|satisfies)(?![\w$])/ ("const" / Type)
 NoOp <- /=>|\?\.(?!\d)/
-BinOp <- /(?:>>>|<<|>>|\*\*|&&|\|\||\?\?)=?|[=!]==?|[<>]=?|[+\-*\/%&|^]=?|=(?![=>])|(?:instanceof|in)(?![\w$])/
+BinOp <- /(?:>>>|<<|>>|\*\*|&&|\|\||\?\?)(?!=)|[=!]==?|[<>]=?|[+\-*\/%&|^](?!=)|(?:instanceof|in)(?![\w$])/
 @js Unary <- Prefix* Postfix
 @ts Unary <- Prefix* Postfix / Cast
 @ts Cast <- '<' ("const" / Type) '>' Unary

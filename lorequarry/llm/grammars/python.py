@@ -84,7 +84,7 @@ Num <- /(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\
 Stmt <- Compound / Simple
 Simple <- Small (';' Small)* ';'? NLINE
 Block <- NLINE /\x02/ Stmt+ /\x03/ / Simple
-Small <- "pass" / "break" / "continue" / "return" Stars? / "raise" (Expr ("from" Expr)?)? / "global" Ident (',' Ident)* / "nonlocal" Ident (',' Ident)* / "del" Postfix (',' Postfix)* ','? / "assert" Expr (',' Expr)? / Import / TypeAlias / Assign
+Small <- "pass" / "break" / "continue" / "return" Stars? / "raise" (Expr ("from" Expr)?)? / "global" Ident (',' Ident)* / "nonlocal" Ident (',' Ident)* / "del" DelEl (',' DelEl)* ','? / "assert" Expr (',' Expr)? / Import / TypeAlias / Assign
 TypeAlias <- /type(?=[ \t]+[^\W\d])/ Ident TypeParams? '=' Expr
 Import <- "import" Dotted ("as" Ident)? (',' Dotted ("as" Ident)?)* / "from" (/\.+/ Dotted? / Dotted) "import" ('*' / '(' Alias (',' Alias)* ','? ')' / Alias (',' Alias)*)
 Dotted <- Ident ('.' Ident)*
@@ -93,9 +93,13 @@ Assign <- Target Annot / Target Aug (Yield / Stars) / (Targets Eq)* (Yield / Sta
 Annot <- ':' Expr (Eq (Yield / Stars))?
 Eq <- /=(?!=)/
 Aug <- /(?:\*\*|\/\/|<<|>>|[+\-*\/%@&|^])=/
-Target <- Postfix
+Target <- Place / '(' Target ')'
+Place <- Atom (Trail &Trail)* LastTrail / Ident
+Trail <- Call / Index / '.' Ident
+LastTrail <- Index / '.' Ident
+DelEl <- Place / '(' (DelEl (',' DelEl)* ','?)? ')' / '[' (DelEl (',' DelEl)* ','?)? ']'
 Targets <- TargetEl (',' TargetEl)* ','?
-TargetEl <- '*'? Postfix
+TargetEl <- '*'? (Place / '(' Targets? ')' / '[' Targets? ']')
 Yield <- "yield" ("from" Expr / Stars)?
 Stars <- Star (',' Star)* ','?
 Star <- '*' Or / Named
@@ -105,8 +109,15 @@ Class <- "class" Ident TypeParams? ('(' Args ')')? ':' Block
 TypeParams <- '[' TypeParam (',' TypeParam)* ','? ']'
 TypeParam <- /\*{0,2}/ Ident (':' Expr)? (Eq Expr)?
 Def <- "def" Ident TypeParams? '(' Params ')' ('->' Expr)? ':' Block
-Params <- (Param (',' Param)*)? ','?
-Param <- '**' Ident (':' Expr)? / '*' (Ident (':' Star)?)? / /\/(?!\/)/ / Ident (':' Expr)? (Eq Expr)?
+Params <- (PlainParams (',' OtherParams)? / OtherParams)? ','?
+PlainParams <- PlainParam (',' (PlainParam / Slash))*
+OtherParams <- GivenParam (',' (GivenParam / Slash))* (',' StarParams)? / StarParams
+StarParams <- '*' !'*' (Ident (':' Star)?)? (',' KeyParam)* (',' Rest)? / Rest
+PlainParam <- Ident (':' Expr)? !Eq
+GivenParam <- Ident (':' Expr)? Eq Expr
+KeyParam <- Ident (':' Expr)? (Eq Expr)?
+Rest <- '**' Ident (':' Expr)?
+Slash <- /\/(?!\/)/
 If <- "if" Named ':' Block ("elif" Named ':' Block)* ("else" ':' Block)?
 While <- "while" Named ':' Block ("else" ':' Block)?
 For <- "for" Targets "in" Stars ':' Block ("else" ':' Block)?
@@ -135,8 +146,11 @@ ArithOp <- /\*\*(?!=)|\/\/(?!=)|<<(?!=)|>>(?!=)|[+\-*\/%@&|^](?!=)/
 Unary <- /[+\-~]/ Unary / "await"? Postfix
 Postfix <- Atom (Call / Index / '.' Ident)*
 Call <- '(' Args ')'
-Args <- (Arg (',' Arg)*)? ','?
-Arg <- '**' Expr / '*' Expr / Ident Eq Expr / Named Comp?
+Args <- (PlaceArg (',' PlaceArg)* (',' NameArgs)? / NameArgs)? ','?
+PlaceArg <- '*' !'*' Expr / !(Ident Eq) Named Comp?
+NameArgs <- NameArg (',' (NameArg / '*' !'*' Expr))* (',' RestArg)* / RestArg (',' RestArg)*
+NameArg <- Ident Eq Expr
+RestArg <- '**' Expr / NameArg
 Index <- '[' Slice (',' Slice)* ','? ']'
 Slice <- Expr? ':' Expr? (':' Expr?)? / '*' Or / Named
 Comp <- ("async"? "for" Targets "in" Or ("if" OrIf)*)+

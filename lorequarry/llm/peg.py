@@ -36,7 +36,7 @@ class Grammar:
             name, body = re.match(r"(\w+)\s*<-\s*(.*)", block, re.S).groups()
             toks = [m for m in _TERM.finditer(body) if m.lastgroup]
             trees[name] = self._choice([(m.lastgroup, m.group(m.lastgroup)) for m in toks], [0])
-        self.trees = trees
+        self.trees, self.terms = trees, len(re.findall(r"\S+", text))
         for name in trees:
             self.rules[name] = self._rule(name)
         self.steps = {n: self._compile(t) for n, t in trees.items()}
@@ -255,12 +255,11 @@ class Grammar:
             m.clear()
         self._at.clear()
         self.text, self.far = text, 0
-        if sys.getrecursionlimit() < 12_000:
-            sys.setrecursionlimit(12_000)
-        try:
-            end = self.rules["start"](0)
-        except RecursionError:
-            return max(self.far, 0)
-        finally:
-            self._at.clear()
+        # Calls between rules need no C stack, so nesting is bounded by memory only. A level of
+        # nesting consumes text and passes each rule at most once, which bounds the depth.
+        depth = min(2**31 - 1, 4 * self.terms * (len(text) + 2) + 12_000)
+        if sys.getrecursionlimit() < depth:
+            sys.setrecursionlimit(depth)
+        end = self.rules["start"](0)
+        self._at.clear()
         return -1 if end >= 0 else self.far

@@ -28,7 +28,7 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return validity.check_sources(load(spark, d, "source_files")).where("invalid").select("path").distinct()
+    return validity.check_sources(load(spark, d, "source_files"), causes=False).where("invalid").select("path").distinct()
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ flag. ``files.errors`` and ``files.language`` are not relied on.
 Defined cases: a null source or an unknown extension is not judged (null flag);
 an empty source or one of comments only is valid; of a path's index rows the one
 with the largest indexed_at counts, exact repeats once; a file below no
-project's path has a null repository; nesting too deep to parse is invalid.
+project's path has a null repository; nesting of any depth is parsed.
 """
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lorequarry.llm.grammars import EXTENSIONS, grammar
 
+#: A part of a scan (128 MB by default) takes minutes to parse, so it is handed on in smaller shares.
+TASKS_A_PART = 8
 _MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r]|$)", re.M)
 _NAME = re.compile(r"\.(\w+)$")
 
@@ -30,11 +32,13 @@ def language_of(path: str | None) -> str | None:
     return EXTENSIONS.get(m.group(1).lower()) if m else None
 
 
-def judge(source: str, language: str) -> tuple[bool, int, int, str | None]:
-    """(invalid, furthest position, its line, cause) of one source."""
+def judge(source: str, language: str, causes: bool = True) -> tuple[bool, int, int, str | None]:
+    """(invalid, furthest position, its line, cause) of one source; without ``causes`` the cause is null."""
     at = grammar(language).parse(source)
     if at < 0:
         return False, -1, -1, None
+    if not causes:
+        return True, at, grammar(language).line_at(at, source), None
     g = grammar(language)
     line = g.line_at(at, source)
     begin = source.rfind("\n", 0, max(0, sum(map(len, source.splitlines(True)[: line - 1])))) + 1
@@ -50,8 +54,8 @@ def judge(source: str, language: str) -> tuple[bool, int, int, str | None]:
     return True, at, line, cause
 
 
-def check_sources(sources: DataFrame) -> DataFrame:
-    """(path, language, invalid, position, line, cause) of ``sources(path, source)``."""
+def check_sources(sources: DataFrame, causes: bool = True) -> DataFrame:
+    """(path, language, invalid, position, line, cause) of ``sources(path, source)``; causes only if asked for."""
     schema = "path string, language string, invalid boolean, position int, line int, cause string"
     kinds = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
 
@@ -60,13 +64,14 @@ def check_sources(sources: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in kinds]
             for path, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lang = language_of(path)
-                bad, at, line, cause = judge(source, lang) if lang and source is not None else (None, None, None, None)
+                bad, at, line, cause = judge(source, lang, causes) if lang and source is not None else (None, None, None, None)
                 for c, v in zip(cols, (path, lang, bad, at if bad else None, line if bad else None, cause)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in schema.split(", ")])
 
-    # parsing costs far more than reading, so files are spread over all cores
-    n = sources.sparkSession.sparkContext.defaultParallelism * 2
+    # parsing costs far more than reading: each part of the scan is spread over TASKS_A_PART tasks, and no core is left idle
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    n = max(2 * cores, TASKS_A_PART * sources.rdd.getNumPartitions())
     return sources.select("path", "source").repartition(n, "path").mapInArrow(run, schema)
 
 

@@ -355,3 +355,25 @@ def test_settings_are_never_cut(spark, monkeypatch):
     assert len(mixing.settings(spark.range(3))) == 3
     with pytest.raises(ValueError):
         mixing.settings(spark.range(4))
+
+
+@pytest.mark.parametrize("lang,before,after", [("javascript", "let x = ", ";"), ("tsx", "let x = ", ";"), ("sql", "SELECT ", ""), ("go", "package a\nvar x = ", "\n"), ("python", "x = ", ""), ("java", "class A { int x = ", "; }"), ("rust", "fn f() { let x = ", "; }"), ("csharp", "class A { int x = ", "; }")])
+def test_nesting_of_any_depth(lang, before, after):
+    n = 4000
+    assert grammar(lang).parse(before + "(" * n + "1" + ")" * n + after) == -1
+    assert grammar(lang).parse(before + "(" * n + "1" + ")" * (n - 1) + after) >= 0
+
+
+def test_assignment_needs_a_place():
+    for s in ["f() = 1", "x = 1 = 2", "f(a=1, b)", "f(**a, *b)", "def f(a=1, b): pass", "(a, b.c[0]) = x", "[a, *b] = x", "del f()", "del (a), b[0], c.d", "for f() in x: pass", "f(x)[0] += 1", "(x): int = 1", "with a as f(): pass", "'a'.b = 1", "a, b += 1", "def f(a, /, b=1, *, c, **d): pass", "f(a, *b, c, d=1, *e, **g)", "f(a for a in b)"]:
+        try:
+            ast.parse(s)
+            ok = True
+        except SyntaxError:
+            ok = False
+        assert (grammar("python").parse(s) < 0) == ok, s
+    for s in ["a = b = c;", "[a, b] = [b, a];", "({a} = x);", "a.b[c] += f() ? x = 1 : y;", "x ??= 1; z >>>= 1", "for (a.b of c) d = e;", "while ((x = f())) ;", "a == b; a <= b", "f(x).y = z"]:
+        assert grammar("javascript").parse(s) == grammar("typescript").parse(s) == -1, s
+    for s in ["1 = 2;", "f() = 1;", "a + b = c;", "'x' += 1"]:
+        assert grammar("javascript").parse(s) >= 0 and grammar("typescript").parse(s) >= 0, s
+    assert grammar("typescript").parse("a! = 1; (a as any) = 2; this.a = this.b!;") == -1
