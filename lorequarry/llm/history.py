@@ -1,29 +1,36 @@
 """Check each new batch for (near-)duplicates against everything accepted before.
 
 A text is a sparse binary vector over its shingles (hashed word triples). The
-index is an inverted file that is kept in the shared folder: a cell per
-coordinate lists the vectors that have it among their first coordinates in a
-fixed order (rare ones first), and the full vectors lie beside the cells. A
-query probes the cells of its own coordinates in that order. After i cells, a
-vector met in fewer than MEETINGS of them can share at most n - i + MEETINGS - 1
-of the query's n coordinates, so probing ends as soon as that bound on the
-distance rules out every nearer vector; the bound on a single candidate follows
-from the positions at which the two meet. What was met often enough is ranked by
-exact Jaccard similarity, and the batch is appended to the cells. A batch reads
-the cells, never the earlier texts.
-
-Vectors that had no earlier match are leaders. A query meets the leaders of its
-cells first and leaves with the first match; only queries without one go on to
-the other members, so a family of near copies is not compared pair by pair.
+index is an inverted file that is kept in a folder: a cell per coordinate lists
+the vectors that have it among their first coordinates in a fixed order (rare
+ones first), and the full vectors lie beside the cells. A query probes the cells
+of its own coordinates in that order. After i cells, a vector met in fewer than
+MEETINGS of them can share at most n - i + MEETINGS - 1 of the query's n
+coordinates, so probing ends as soon as that bound on the distance rules out
+every nearer vector; the bound on a single candidate follows from the positions
+at which the two meet. What was met often enough is ranked by exact Jaccard
+similarity, and the batch is appended to the cells.
+
+A query first meets the one oldest vector of each of its cells, and leaves if
+the one it meets most often is near; only the others go on to all members. So a
+family of near copies, of one batch or of many, is not compared pair by pair.
+
+The folder holds a manifest (settings), the order, and one entry an ``accept``:
+its vectors, its cells, its result and, written last, a mark that it is complete.
+An index is opened with the settings and the order it was made with; an entry
+without a mark is no part of it, and accepting an entry again gives its result.
 
 Defined cases: a null text, one of fewer than ``min_words`` words, a role other
 than user and assistant, or a session not in sessions takes no part; turns of
-one batch do not count against each other; exact repeats share one vector.
+one batch do not count against each other; exact repeats share one vector; an
+entry may hold many batches, but none that is not later than all before it.
 """
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,12 @@ ORDER_BUCKETS = 1 << 20
 _CHUNK = 4096
 #: In how many probed cells a query and a vector must meet (in all they can share, if that is less).
 MEETINGS = 3
+#: A new index spreads its cells and vectors over this many ranges; a batch reads only the ranges it probes.
+RANGES = 32
+#: A cell with more vectors than this is split over several tasks.
+CELL_ROWS = 4_096
+#: Candidate ids up to this number are broadcast to the scan of the vectors (16 bytes an id); more are joined by a shuffle.
+IDS_BROADCAST = 1_000_000
 #: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
 SESSIONS_BROADCAST = 500_000
 
@@ -87,13 +100,13 @@ def vectors(docs: DataFrame, shingle: int = 3, min_words: int = 30) -> DataFrame
                 ["doc_id", "batch", "set_id", "n", "vec"],
             )
 
-    return docs.where("text is not null").select("doc_id", F.col("batch").cast("long").alias("batch"), "text").mapInArrow(
+    return docs.where("text is not null and batch is not null").select("doc_id", F.col("batch").cast("long").alias("batch"), "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, batch long, set_id binary, n int, vec array<long>"
     )
 
 
-def coordinate_order(vecs: DataFrame) -> np.ndarray:
-    """How often the coordinates of each bucket occur: a fixed order for as long as the index lives."""
+def coordinate_order(vecs: DataFrame) -> DataFrame:
+    """(chunk, n): how often the coordinates of each bucket occur, a fixed order for as long as the index lives."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_BUCKETS, dtype=np.int32)
@@ -108,60 +121,110 @@ def coordinate_order(vecs: DataFrame) -> np.ndarray:
         n = sum((np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in table.column("n").to_pylist()), np.zeros(_CHUNK, dtype=np.int64))
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "n": pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    # one array of counts a task, so as few tasks as there are cores; the sum is as small as one array
-    few = vecs.select("vec").coalesce(vecs.sparkSession.sparkContext.defaultParallelism)
-    rows = few.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect()
-    out = np.zeros((ORDER_BUCKETS // _CHUNK, _CHUNK), dtype=np.int32)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(bytes(r["n"]), dtype=np.int32)
-    return out.reshape(-1)
+    # the scan's parts are read as they lie; each sends one array of counts in chunks
+    return vecs.select("vec").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
+
+
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files of the jobs in here go as soon as each job has ended; its result is in a table then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 class HistoryIndex:
-    """The cells and full vectors of everything accepted, kept in a folder.
+    """The cells and full vectors of everything accepted, kept in a folder."""
 
-    Both tables are bucketed by their key, so a batch is shuffled to where the
-    history lies and the history itself is never shuffled. Leaders are a
-    partition of their own.
-    """
+    SETTINGS = ("shingle", "min_words", "percent", "ranges")
+    SETS = "set_id binary, sid long, batch long, n int, vec array<long>"
+    CELLS = "cell long, sid long, n int, pos int, batch long"
 
-    SETS = "set_id binary, n int, vec array<long>, leader boolean"
-    CELLS = "cell long, set_id binary, n int, pos int, leader boolean"
-
-    def __init__(self, spark: SparkSession, order: np.ndarray, path: str | None = None, percent: int = 70, buckets: int | None = None):
-        self.spark, self.percent = spark, percent
-        self.path = path or shared_path(spark, "history")
-        self.order = spark.sparkContext.broadcast(order)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tables = {}
-        for what, schema, key in (("sets", self.SETS, "set_id"), ("cells", self.CELLS, "cell")):
-            name = f"history_{what}_{abs(hash(self.path)) % 10**12}"
-            known = exists(spark, f"{self.path}/{what}")
-            spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet PARTITIONED BY (leader) "
-                f"CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{what}'"
-            )
-            if known:
-                spark.sql(f"MSCK REPAIR TABLE {name}")
-            self.tables[what] = name
+    def __init__(self, spark: SparkSession, path: str | None = None, **settings: int):
+        """Open the index of ``path``, or begin one there (in the shared folder if no path is given).
 
-    def drop(self) -> None:
-        """Forget the tables; the files in the folder stay."""
-        for t in self.tables.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        Settings are those of the folder; what is passed must agree with them.
+        """
+        self.spark, self.path = spark, path or shared_path(spark, "history")
+        unknown = set(settings) - set(self.SETTINGS)
+        if unknown:
+            raise TypeError(f"unknown settings {sorted(unknown)}")
+        if exists(spark, f"{self.path}/manifest"):
+            self.settings = json.loads(spark.read.text(f"{self.path}/manifest").collect()[0][0])
+            wrong = {k for k, v in settings.items() if v != self.settings[k]}
+            if wrong:
+                raise ValueError(f"the index was made with other {sorted(wrong)}")
+        else:
+            self.settings = {"shingle": 3, "min_words": 30, "percent": 70, "ranges": RANGES} | settings
+            spark.range(1).select(F.lit(json.dumps(self.settings)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+        self._order = None
+
+    # ---- the folder ----
+
+    def entries(self) -> list[str]:
+        """The complete entries."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _complete(self, entry: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete/{entry}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def _table(self, what: str, entries: list[str], ranges: list[int] | None = None) -> DataFrame:
+        """Rows of some entries; of some ranges only, whose files alone are read."""
+        schema = {"sets": self.SETS, "cells": self.CELLS}[what]
+        paths = [f"{self.path}/{what}/entry={e}" for e in entries]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, range int")
+        df = self.spark.read.schema(f"{schema}, range int").option("basePath", f"{self.path}/{what}").parquet(*paths).drop("entry")
+        return df if ranges is None else df.where(F.col("range").isin(ranges))
+
+    def _write(self, rows: DataFrame, what: str, entry: str, key: str) -> None:
+        """The rows of an entry by ranges of their key; what an attempt before left there goes."""
+        n = self.settings["ranges"]
+        share = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)  # tasks a range
+        r = rows.withColumn("range", self._range(F.col(key)))
+        r = r.repartition(n * share, "range", F.pmod(F.col(key), F.lit(share)))
+        r.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/{what}/entry={entry}")
+
+    def _range(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.settings["ranges"])).cast("int")
+
+    def _ranges(self, keys: DataFrame, key: str) -> list[int]:
+        """The ranges in which keys fall: at most as many as there are."""
+        return sorted(r[0] for r in keys.select(self._range(F.col(key))).distinct().collect())
+
+    def order(self):
+        """The broadcast order of the coordinates."""
+        if self._order is None:
+            out = np.zeros((ORDER_BUCKETS // _CHUNK, _CHUNK), dtype=np.int32)
+            for r in self.spark.read.parquet(f"{self.path}/order").collect():  # of one size, whatever the data
+                out[r["chunk"]] = np.frombuffer(bytes(r["n"]), dtype=np.int32)
+            self._order = self.spark.sparkContext.broadcast(out.reshape(-1))
+        return self._order
+
+    # ---- probing ----
 
     def _near(self, same: Column | int, a: Column, b: Column) -> Column:
         """Whether ``same`` shared coordinates are enough for sets of a and b ones."""
-        return (100 + self.percent) * same >= self.percent * (a + b)
+        p = self.settings["percent"]
+        return (100 + p) * same >= p * (a + b)
 
     def _probed(self, sets: DataFrame) -> DataFrame:
-        """(cell, set_id, n, pos): the coordinates that have to be probed before the bound rules out the rest."""
-        order, percent = self.order, self.percent
+        """(cell, sid, n, pos, batch): the coordinates that have to be probed before the bound rules out the rest."""
+        order, percent = self.order(), self.settings["percent"]
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             o = order.value
             for b in batches:
-                flat, offs = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
+                flat, offs = b.column(3).flatten().to_numpy(), b.column(3).offsets.to_numpy()
                 offs = offs - offs[0]
                 out = []
                 for i in range(b.num_rows):
@@ -170,56 +233,103 @@ class HistoryIndex:
                     out.append(v[np.lexsort((v, o[v % ORDER_BUCKETS]))[:m]])
                 lens = [len(v) for v in out]
                 cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), cells], ["set_id", "n", "leader", "cells"])
-
-        s = sets.select("set_id", "n", "vec", "leader").mapInArrow(first, "set_id binary, n int, leader boolean, cells array<long>")
-        return s.select(F.posexplode("cells").alias("pos", "cell"), "set_id", "n", "leader")
-
-    def _matches(self, probes: DataFrame, cells: DataFrame, queries: DataFrame, full: DataFrame) -> Stored:
-        """(set_id) of the queries that have a near vector in the given cells."""
-        q = probes.select("cell", F.col("set_id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
-        h = cells.select("cell", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-        # what both can share: coordinates before this cell, and from it on
-        rest = F.least("qp", "hp") + F.least(F.col("qn") - F.col("qp"), F.col("hn") - F.col("hp"))
-        needed = F.ceil(self.percent * (F.col("qn") + F.col("hn")) / (100 + self.percent))
-        met = h.join(q.hint("shuffle_hash"), "cell").where(
-            (100 * F.col("hn") >= self.percent * F.col("qn")) & (100 * F.col("qn") >= self.percent * F.col("hn")) & self._near(rest, F.col("qn"), F.col("hn"))
-        )
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], cells], ["sid", "batch", "n", "cells"])
+
+        s = sets.select("sid", "batch", "n", "vec").mapInArrow(first, "sid long, batch long, n int, cells array<long>")
+        return s.select(F.posexplode("cells").alias("pos", "cell"), "sid", "n", "batch").select("cell", "sid", "n", "pos", "batch")
+
+    def _can(self, q: str, h: str) -> Column:
+        """Whether two vectors that meet in a cell can be near, by their sizes and their positions in the order."""
+        p, qn, hn, qp, hp = self.settings["percent"], F.col(f"{q}n"), F.col(f"{h}n"), F.col(f"{q}p"), F.col(f"{h}p")
+        rest = F.least(qp, hp) + F.least(qn - qp, hn - hp)  # coordinates before this cell, and from it on
+        return (100 * hn >= p * qn) & (100 * qn >= p * hn) & self._near(rest, qn, hn)
+
+    def _verified(self, pairs: Stored, entries: list[str]) -> Stored:
+        """(q) of the pairs (q, h) of sids whose full vectors are near; q is the set_id."""
+        ids = pairs.df.select(F.col("q").alias("sid")).union(pairs.df.select("h"))
+        v = self._table("sets", entries, self._ranges(ids, "sid")).select("sid", "set_id", "vec")
+        few = ids.distinct()
+        v = v.join(F.broadcast(few) if pairs.df.count() * 2 <= IDS_BROADCAST else few, "sid", "left_semi")
+        j = pairs.df.join(v.select(F.col("sid").alias("h"), F.col("vec").alias("hv")), "h").join(v.select(F.col("sid").alias("q"), F.col("set_id").alias("id"), F.col("vec").alias("qv")), "q")
+        near = j.where(self._near(F.size(F.array_intersect("qv", "hv")), F.size("qv"), F.size("hv")))
+        return Stored(self.spark, near.select("q", F.col("id").alias("set_id")).distinct(), "near")
+
+    def _repeats(self, entry: str, before: list[str]) -> DataFrame:
+        """(set_id) of the entry's new vectors that have a near one in an earlier batch."""
+        spark, n = self.spark, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        own = self._table("cells", [entry]).withColumn("new", F.lit(True))
+        pool = own
+        if before:
+            touched = own.select("cell").distinct()
+            pool = own.unionByName(self._table("cells", before, self._ranges(touched, "cell")).join(touched, "cell", "left_semi").withColumn("new", F.lit(False)))
+        pool = pool.select("cell", "sid", F.col("n").alias("hn"), F.col("pos").alias("hp"), "batch", "new").repartition(n, "cell")  # read twice, shuffled once
+        oldest = F.min(F.struct("batch", F.col("sid").alias("h"), F.col("hn").alias("fn"), F.col("hp").alias("fp"))).alias("oldest")
+        alive = pool.groupBy("cell").agg(oldest, F.count("*").alias("size"), F.max(F.when(F.col("new"), F.col("batch"))).alias("latest"))
+        alive = alive.where("oldest.batch < latest").select("cell", "oldest", (F.floor((F.col("size") - 1) / CELL_ROWS) + 1).cast("int").alias("parts"))
+        live = Stored(spark, pool.join(alive, "cell"), "live-cells")
+        asks = live.df.where("new and oldest.batch < batch").select("cell", F.col("sid").alias("q"), F.col("hn").alias("qn"), F.col("hp").alias("qp"), "batch", "parts", "oldest.h", "oldest.fn", "oldest.fp")
+        # first the oldest vector that a query meets in most of its cells
+        met = asks.where(self._can("q", "f")).groupBy("q", "h").count()
+        first = Stored(spark, met.groupBy("q").agg(F.max_by("h", F.struct("count", "h")).alias("h")), "first-pairs")
+        every = [*before, entry]
+        found = self._verified(first, every)
+        # then all vectors of the cells, for the queries that are left
+        left = asks.join(found.df.select("q").distinct(), "q", "left_anti")
+        left = left.select("cell", "q", "qn", "qp", F.col("batch").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        have = live.df.select("cell", F.col("sid").alias("h"), "hn", "hp", "batch", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"))
+        needed = F.ceil(self.settings["percent"] * (F.col("qn") + F.col("hn")) / (100 + self.settings["percent"]))
+        met = have.join(left, ["cell", "part"]).where((F.col("batch") < F.col("qb")) & self._can("q", "h"))
         often = met.groupBy("q", "h").agg(F.count("*").alias("met"), F.first(needed).alias("needed")).where(F.col("met") >= F.least(F.lit(MEETINGS), "needed"))
-        cand = Stored(self.spark, often.select("q", "h"), "candidates")
-        b = full.select(F.col("set_id").alias("h"), F.col("vec").alias("hv")).join(cand.df.hint("shuffle_hash"), "h")
-        a = queries.select(F.col("set_id").alias("q"), F.col("vec").alias("qv"))
-        same = F.size(F.array_intersect("qv", "hv"))
-        near = a.join(b, "q").where(self._near(same, F.size("qv"), F.size("hv"))).select(F.col("q").alias("set_id")).distinct()
-        out = Stored(self.spark, near, "near")
-        cand.drop()
-        return out
-
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """Probe the history with a batch ``(set_id, n, vec)``, then append it; (set_id) of its repeats.
-
-        The result is written, so it stays what it was when later batches are appended.
-        """
-        spark = self.spark
-        sets, cells = spark.table(self.tables["sets"]), spark.table(self.tables["cells"])
-        fresh = batch.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
-        exact = Stored(spark, sets.select("set_id").join(batch.select("set_id").distinct().hint("shuffle_hash"), "set_id", "left_semi"), "repeats")
-        new = Stored(spark, fresh.join(exact.df, "set_id", "left_anti").withColumn("leader", F.lit(True)), "new-sets")
-        probes = Stored(spark, self._probed(new.df), "probes")
-        first = self._matches(probes.df, cells.where("leader"), new.df, sets.where("leader"))
-        left = probes.df.join(first.df, "set_id", "left_anti")
-        second = self._matches(left, cells.where("not leader"), new.df, sets.where("not leader"))
-        near = first.df.union(second.df)
-        flagged = near.withColumn("near", F.lit(True))
-        lead = lambda df: df.join(flagged, "set_id", "left").withColumn("leader", F.col("near").isNull()).drop("near")
-        self._append("sets", lead(new.df).repartition(self.buckets, "set_id").select("set_id", "n", "vec", "leader"))
-        self._append("cells", lead(probes.df).repartition(self.buckets, "cell").select("cell", "set_id", "n", "pos", "leader"))
-        new.drop()
-        probes.drop()
-        return exact.df.union(near)
-
-    def _append(self, what: str, rows: DataFrame) -> None:
-        rows.write.insertInto(self.tables[what])
+        rest = Stored(spark, often.select("q", "h"), "pairs")
+        self.pairs = (first.df.count(), rest.df.count())
+        more = self._verified(rest, every)
+        out = Stored(spark, found.df.union(more.df).select("set_id").distinct(), "near-sets")
+        for s in (live, first, found, rest, more):
+            s.drop()
+        self._left.append(out)
+        return out.df
+
+    def accept(self, entry: str, docs: DataFrame) -> DataFrame:
+        """(doc_id) of ``docs(doc_id, batch, text)`` that repeat an earlier batch; they are appended as one entry."""
+        if not re.fullmatch(r"[\w.\-]+", entry):
+            raise ValueError("an entry is named by letters, digits, _, . and -")
+        spark, result, before = self.spark, f"{self.path}/repeats/entry={entry}", self.entries()
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        if entry in before:
+            return spark.read.schema(f"doc_id {kind}").parquet(result)
+        self._left: list[Stored] = []
+        with _tidy(spark):
+            raw = Stored(spark, vectors(docs, self.settings["shingle"], self.settings["min_words"]), "vectors")
+            light = Stored(spark, raw.df.select("doc_id", "batch", "set_id"), "vector-ids")
+            if not before:
+                coordinate_order(raw.df).write.mode("overwrite").parquet(f"{self.path}/order")
+                self._order = None
+            sets = raw.df.groupBy("set_id").agg(F.min("batch").alias("batch"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
+            sets = sets.withColumn("sid", F.xxhash64("set_id")).select("set_id", "sid", "batch", "n", "vec")
+            status = None
+            if before:
+                new = light.df.select("set_id", F.xxhash64("set_id").alias("sid")).distinct()
+                old = self._table("sets", before, self._ranges(new, "sid")).select("set_id", "batch")
+                known = Stored(spark, old.join(new, "set_id", "left_semi"), "known-sets")
+                self._left.append(known)
+                last = self._table("sets", before).agg(F.max("batch")).collect()[0][0]
+                low = light.df.agg(F.min("batch")).collect()[0][0]
+                if last is not None and low is not None and low <= last:
+                    raise ValueError(f"batch {low} is not later than {last}, which was accepted before")
+                sets, status = sets.join(known.df, "set_id", "left_anti"), known.df.withColumn("near", F.lit(False))
+            self._write(sets, "sets", entry, "sid")
+            raw.drop()
+            fresh = self._table("sets", [entry])
+            self._write(self._probed(fresh), "cells", entry, "cell")
+            near = self._repeats(entry, before).withColumn("near", F.lit(True))
+            own = fresh.select("set_id", "batch").join(near, "set_id", "left").select("set_id", "batch", F.coalesce("near", F.lit(False)).alias("near"))
+            status = own if status is None else status.unionByName(own)
+            again = light.df.withColumnRenamed("batch", "at").join(status, "set_id").where(F.col("near") | (F.col("at") > F.col("batch")))
+            again.select("doc_id").distinct().write.mode("overwrite").parquet(result)
+            for s in (light, *self._left):
+                s.drop()
+        self._complete(entry)
+        return spark.read.schema(f"doc_id {kind}").parquet(result)
 
 
 def batches_of(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -232,20 +342,12 @@ def batches_of(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     return t.join(first, "session_id").select(F.col("id").alias("doc_id"), "batch", "text")
 
 
-def repeated_turns(spark: SparkSession, turns: DataFrame, sessions: DataFrame, shingle: int = 3, min_words: int = 30, percent: int = 70) -> DataFrame:
-    """(turn_id) of the turns that repeat, or nearly repeat, one of an earlier batch."""
-    docs = Stored(spark, vectors(batches_of(turns, sessions), shingle, min_words), "turn-vectors", ["batch"])
-    order = coordinate_order(docs.df)
-    light = Stored(spark, docs.df.select("doc_id", "batch", "set_id"), "turn-sets")
-    index, found = HistoryIndex(spark, order, percent=percent), []
-    for b in [r["batch"] for r in light.df.select("batch").distinct().orderBy("batch").collect()]:
-        again = index.accept(docs.df.where(F.col("batch") == b).select("set_id", "n", "vec"))
-        remove(spark, f"{docs.path}/batch={b}")  # its vectors are in the index now
-        found.append(again.select(F.lit(b).alias("batch"), "set_id"))
-    index.drop()
-    if not found:
-        return light.df.select(F.col("doc_id").alias("turn_id"))
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.union(f)
-    return light.df.join(hits, ["batch", "set_id"], "left_semi").select(F.col("doc_id").alias("turn_id")).distinct()
+def repeated_turns(spark: SparkSession, turns: DataFrame, sessions: DataFrame, shingle: int = 3, min_words: int = 30, percent: int = 70, path: str | None = None) -> DataFrame:
+    """(turn_id) of the turns that repeat, or nearly repeat, one of an earlier batch.
+
+    All batches of the table make one entry of a new index, in which a turn
+    meets earlier batches only; what comes later is given to ``accept``, on the
+    same folder, and reads the ranges that it probes.
+    """
+    index = HistoryIndex(spark, path, shingle=shingle, min_words=min_words, percent=percent)
+    return index.accept("all", batches_of(turns, sessions)).select(F.col("doc_id").alias("turn_id"))

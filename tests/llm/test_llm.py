@@ -157,6 +157,99 @@ def test_history_matches_brute_force(spark):
     assert history.repeated_turns(spark, turns.limit(0), sessions).count() == 0
 
 
+def _near_copies(n, seed, words=120, changes=3):
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(changes):
+            w[rnd.randrange(words)] = f"x{rnd.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+DOC = "doc_id string, batch long, text string"
+
+
+def test_history_reopens_with_what_it_was_made_with(spark, tmp_path):
+    rnd = random.Random(11)
+    texts = [" ".join(f"v{rnd.randrange(900)}" for _ in range(45)) for _ in range(200)]
+    path = f"file://{tmp_path}/index"
+    first = history.HistoryIndex(spark, path, ranges=4)
+    assert first.accept("a", spark.createDataFrame([(f"a{i}", 1, t) for i, t in enumerate(texts)], DOC)).count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = history.HistoryIndex(spark, path)
+        assert again.settings["ranges"] == 4
+        near = [(f"n{i}", 2, t + " more") for i, t in enumerate(texts[:50])]
+        got = {r.doc_id for r in again.accept("b", spark.createDataFrame([(f"b{i}", 2, t) for i, t in enumerate(texts)] + near, DOC)).collect()}
+        assert got == {f"b{i}" for i in range(200)} | {f"n{i}" for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        history.HistoryIndex(spark, path, percent=80)
+    third = history.HistoryIndex(spark, path)
+    assert third.entries() == ["a", "b"]
+    assert {r.doc_id for r in third.accept("b", spark.createDataFrame([], DOC)).collect()} == got  # an entry is accepted once
+    with pytest.raises(ValueError):
+        third.accept("c", spark.createDataFrame([("c", 2, texts[0])], DOC))  # not later than what was accepted
+    assert third.accept("d", spark.createDataFrame([("d", 3, None), ("e", None, texts[0])], DOC)).count() == 0
+
+
+def test_an_entry_without_its_mark_is_no_part_of_the_index(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    text = _near_copies(2, 12)
+    index = history.HistoryIndex(spark, path, ranges=2)
+    index._complete = lambda entry: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        index.accept("a", spark.createDataFrame([("a", 1, text[0])], DOC))
+    again = history.HistoryIndex(spark, path)
+    assert again.entries() == [] and again.accept("a", spark.createDataFrame([("a", 1, text[0])], DOC)).count() == 0
+    assert [r.doc_id for r in again.accept("b", spark.createDataFrame([("b", 2, text[1])], DOC)).collect()] == ["b"]
+
+
+def test_history_in_one_entry_or_in_many(spark, tmp_path):
+    rnd = random.Random(13)
+    base = [[f"w{rnd.randrange(80)}" for _ in range(40)] for _ in range(12)]
+    rows = []
+    for b in range(4):
+        for k in range(25):
+            w = list(rnd.choice(base))
+            for _ in range(rnd.choice([0, 1, 2, 3, 5])):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(80)}"
+            rows.append((f"{b}-{k}", b, " ".join(w)))
+    sets = {i: (b, set(zip(t.split(), t.split()[1:], t.split()[2:]))) for i, b, t in rows}
+    want = {i for i, (b, s) in sets.items() if any(c < b and len(s & t) / len(s | t) >= 0.7 for c, t in sets.values())}
+    df = spark.createDataFrame(rows, DOC)
+    whole = history.HistoryIndex(spark, f"file://{tmp_path}/one", ranges=3)
+    assert {r.doc_id for r in whole.accept("all", df).collect()} == want
+    parts = history.HistoryIndex(spark, f"file://{tmp_path}/many", ranges=3)
+    got = set()
+    for b in range(4):
+        parts = history.HistoryIndex(spark, f"file://{tmp_path}/many")
+        got |= {r.doc_id for r in parts.accept(f"batch-{b}", df.where(F.col("batch") == b)).collect()}
+    assert got == want
+
+
+def test_families_of_near_copies_stay_linear(spark, tmp_path, monkeypatch):
+    texts = _near_copies(600, 14)
+    rows = [(f"{i}", 1 + i // 300, t) for i, t in enumerate(texts)]
+    for entries in (["all"], ["one", "two"]):
+        index = history.HistoryIndex(spark, f"file://{tmp_path}/{len(entries)}", ranges=2)
+        got, pairs = set(), 0
+        for k, e in enumerate(entries):
+            part = rows if len(entries) == 1 else rows[300 * k : 300 * (k + 1)]
+            got |= {r.doc_id for r in index.accept(e, spark.createDataFrame(part, DOC)).collect()}
+            pairs += sum(index.pairs)
+        assert got == {str(i) for i in range(300, 600)} and pairs <= 1000
+    monkeypatch.setattr(history, "CELL_ROWS", 16)  # heavy cells in parts
+    monkeypatch.setattr(history.HistoryIndex, "_can", lambda self, q, h: F.lit(True) if h == "h" else F.lit(False))
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/parts", ranges=2)
+    assert index.accept("all", spark.createDataFrame(rows[270:330], DOC)).count() == 30 and index.pairs[0] == 0
+
+
 # ---- 5 ----
 
 
