@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lorequarry.session import Stored
 
-#: Rounds of the frontier search after which a long tail (a chain, say) is left
-#: to the propagation, in which the visited part counts as one vertex.
-BFS_ROUNDS = 8
+#: The frontier search goes on for as long as a round finds at least one vertex for so many that are
+#: visited. So its rounds grow with the logarithm of the component; a long tail (a chain, say) is left
+#: to the propagation, in which the visited part counts as one vertex. The result is the same.
+GROWTH = 8
 #: How often a label is followed to its own label in one round.
 JUMPS = 1
 
@@ -33,7 +34,7 @@ def same_as_edges(links: DataFrame, vertices: DataFrame, kind: str = "same_as")
     ).select("u", "v")
 
 
-def components(spark: SparkSession, edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, growth: int = GROWTH) -> DataFrame:
     """(group_id, vertex) for every vertex of ``edges(u, v)``; group_id is the smallest vertex.
 
     Null ends and loops are ignored, repeated and reversed pairs are as one,
@@ -50,8 +51,8 @@ def components(spark: SparkSession, edges: DataFrame, bfs_rounds: int = BFS_ROUN
         return sym.df.select(F.col("u").alias("group_id"), F.col("v").alias("vertex"))
     root = top[0]["u"]
     seen = Stored(spark, sym.df.where(F.col("u") == root).select("u").distinct().withColumn("depth", F.lit(0)), "seen")
-    layers, depth, open_ends = [seen], 0, 1
-    while open_ends and depth < bfs_rounds:
+    layers, depth, visited, found = [seen], 0, 1, 1
+    while found * growth >= visited and found:
         front, depth = layers[-1].df.select("u"), depth + 1
         seen_all = spark.read.schema(seen.schema).parquet(*[s.path for s in layers])
         new = (
@@ -59,14 +60,17 @@ def components(spark: SparkSession, edges: DataFrame, bfs_rounds: int = BFS_ROUN
             .join(seen_all.select("u"), "u", "left_anti").withColumn("depth", F.lit(depth))
         )
         layers.append(Stored(spark, new, "seen"))
-        open_ends = layers[-1].df.limit(1).count()
+        found = layers[-1].df.count()
+        visited += found
+    open_ends = found > 0
     giant = spark.read.schema(seen.schema).parquet(*[s.path for s in layers]).select("u")
     rest = sym.df.join(giant, "u", "left_anti")
     if open_ends:  # the visited part goes on as one vertex, its root
         mark = giant.withColumnRenamed("u", "v").withColumn("inside", F.lit(True))
         out = rest.join(mark, "v", "left").select("u", F.when(F.col("inside"), F.lit(root)).otherwise(F.col("v")).alias("v"))
         rest = out.union(out.where(F.col("v") == root).select("v", "u")).distinct()
-    small = _propagate(spark, Stored(spark, rest, "rest"))
+    left = Stored(spark, rest, "rest")
+    small = _propagate(spark, left)
     low = giant.agg(F.min("u")).collect()[0][0]
     joined = small.df.where(F.col("u") == root).select("label").collect() if open_ends else []
     tail = joined[0][0] if joined else None
@@ -76,7 +80,10 @@ def components(spark: SparkSession, edges: DataFrame, bfs_rounds: int = BFS_ROUN
         (F.when(F.col("label") == tail, F.lit(label)).otherwise(F.col("label")) if tail is not None else F.col("label")).alias("group_id"),
         F.col("u").alias("vertex"),
     )
-    return a.union(b)
+    out = Stored(spark, a.union(b), "groups")
+    for t in (sym, *layers, left, small):
+        t.drop()
+    return out.df
 
 
 def _propagate(spark: SparkSession, edges: Stored) -> Stored:

@@ -4,6 +4,9 @@ A forest of random-projection trees is fitted on a bounded sample; every row is
 put into one leaf of each tree. A query visits the leaves in the order in which
 one priority queue shared by all trees gives them out (the least margin on the
 path from the root), and the candidates found there are ranked by exact cosines.
+The hyperplanes that go to all workers are bounded, so leaves grow with the
+table; a grown leaf is searched in the same way by a forest of its own, fitted
+where the leaf lies. So a query meets a number of rows that does not grow.
 
 Defined cases: of an id the row with the largest ``updated_at`` counts (a null
 is the oldest); a null, empty, all-zero, non-finite or otherwise sized vector
@@ -12,8 +15,6 @@ searched for once and share the result; an empty table gives no rows.
 """
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from lorequarry.session import Stored
 
-#: The forest is fitted on at most this many vectors.
+#: A forest is fitted on at most this many vectors, and has a leaf for every eight of them at most.
 FIT_ROWS = 20_000
 TREES, LEAF_ROWS, PROBES = 10, 256, 30
+#: Trees and visited leaves of the forest of a leaf that has more than twice LEAF_ROWS rows.
+LEAF_TREES, LEAF_PROBES = 4, 8
 #: A leaf with more rows than this is searched in blocks, on several tasks.
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 131_072
 
 
 def usable(df: DataFrame, dim: int = 64) -> DataFrame:
@@ -60,7 +63,7 @@ class Forest:
     """Trees of hyperplanes, each midway between two rows of its node's sample."""
 
     def __init__(self, sample: np.ndarray, trees: int, leaves: int, seed: int = 7):
-        self.rng, self.leaves = np.random.default_rng(seed), 0
+        self.rng, self.leaves, self.depth = np.random.default_rng(seed), 0, 0
         self.normals: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []  # of each inner node; a leaf is ~number
@@ -68,14 +71,17 @@ class Forest:
         self.roots = [self._grow(sample, np.arange(len(sample)), least, 0) for _ in range(trees)]
         self.w = np.array(self.normals, dtype=np.float32).reshape(len(self.normals), -1)
         self.b = np.array(self.offsets, dtype=np.float32)
+        self.sides = np.array(self.children, dtype=np.int32).reshape(-1, 2)
+        self.normals = self.offsets = self.children = None  # what is sent to the workers is in the arrays
 
-    def _leaf(self) -> int:
+    def _leaf(self, depth: int) -> int:
         self.leaves += 1
+        self.depth = max(self.depth, depth)
         return ~(self.leaves - 1)
 
     def _grow(self, x: np.ndarray, rows: np.ndarray, least: int, depth: int) -> int:
         if len(rows) <= least or depth > 40:
-            return self._leaf()
+            return self._leaf(depth)
         for attempt in range(6):
             p, q = x[self.rng.choice(rows, 2, replace=False)]
             n = p - q
@@ -88,74 +94,104 @@ class Forest:
             if 0.1 <= right.mean() <= 0.9:
                 break
         if not 0 < right.sum() < len(rows):
-            return self._leaf()
+            return self._leaf(depth)
         k = len(self.normals)
         self.normals.append(n), self.offsets.append(at), self.children.append([0, 0])
         self.children[k] = [self._grow(x, rows[~right], least, depth + 1), self._grow(x, rows[right], least, depth + 1)]
         return k
 
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """(rows, leaves): the least signed margin on the way to each leaf."""
-        out = np.full((len(x), self.leaves), np.inf, dtype=np.float32)
-        if not len(self.normals):
-            return out
-        m = x.astype(np.float32) @ self.w.T - self.b
-        todo = [(r, np.full(len(x), np.inf, dtype=np.float32)) for r in self.roots]
-        while todo:
-            node, best = todo.pop()
-            if node < 0:
-                out[:, ~node] = best
-                continue
-            left, right = self.children[node]
-            todo.append((left, np.minimum(best, -m[:, node])))
-            todo.append((right, np.minimum(best, m[:, node])))
-        return out
-
-    def own_leaves(self, p: np.ndarray) -> np.ndarray:
-        """(rows, trees): the leaf of each tree in which a row lies, from its priorities."""
-        bounds = np.cumsum([0] + [self._count(r) for r in self.roots])
-        return np.stack([a + p[:, a:b].argmax(axis=1) for a, b in zip(bounds, bounds[1:])], axis=1)
-
-    def _count(self, node: int) -> int:
-        return 1 if node < 0 else sum(self._count(c) for c in self.children[node])
-
-    def search(self, x: np.ndarray, probes: int) -> list[int]:
-        """Leaves of one query in the order of the shared queue; what ``visited`` gives for a block of them."""
-        heap = [(-math.inf, r) for r in self.roots]
-        heapq.heapify(heap)
-        out: list[int] = []
-        while heap and len(out) < probes:
-            d, node = heapq.heappop(heap)
-            while node >= 0:
-                m = float(np.float32(self.w[node] @ x.astype(np.float32) - self.b[node]))
-                left, right = self.children[node]
-                near, far = (right, left) if m > 0 else (left, right)
-                heapq.heappush(heap, (max(d, abs(m)), far))
-                nd = max(d, -abs(m))
-                if heap and heap[0][0] < nd:
-                    heapq.heappush(heap, (nd, near))
-                    node = None
-                    break
-                d, node = nd, near
-            if node is not None:
-                out.append(~node)
+    def visit(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """(rows, leaves): the leaves of each row as the queue gives them out; -1 where there are no more.
+
+        The queue is run for all rows at once. It holds nodes by the largest
+        margin by which their path leaves the row's side; the row's own leaf of
+        each tree comes first, in the order of the trees.
+        """
+        x, m, trees = np.ascontiguousarray(x, dtype=np.float32), len(x), len(self.roots)
+        k = min(max(probes, trees), self.leaves)
+        out = np.full((m, k), -1, dtype=np.int32)
+        keys = np.full((m, k * max(1, self.depth)), np.inf, dtype=np.float32)
+        nodes, size, every = np.zeros(keys.shape, dtype=np.int32), np.zeros(m, dtype=np.int64), np.arange(m)
+
+        def descend(rows: np.ndarray, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+            on = np.flatnonzero(node >= 0)
+            while len(on):
+                r, n = rows[on], node[on]
+                margin = np.einsum("ij,ij->i", x[r], self.w[n]) - self.b[n]
+                side = (margin > 0).astype(np.int64)
+                at = size[r]
+                keys[r, at], nodes[r, at] = np.maximum(key[on], np.abs(margin)), self.sides[n, 1 - side]
+                size[r] += 1
+                node[on] = self.sides[n, side]
+                on = on[node[on] >= 0]
+            return ~node
+
+        for t, root in enumerate(self.roots):
+            out[:, t] = descend(every, np.full(m, root, dtype=np.int64), np.full(m, -np.inf, dtype=np.float32))
+        for j in range(trees, k):
+            if not m or not size.max():
+                break
+            first = keys[:, : size.max()].argmin(axis=1)
+            key = keys[every, first]
+            r = np.flatnonzero(np.isfinite(key))
+            keys[r, first[r]] = np.inf
+            out[r, j] = descend(r, nodes[r, first[r]].astype(np.int64), key[r])
         return out
 
-    def visited(self, p: np.ndarray, probes: int) -> np.ndarray:
-        """The first leaves that the queue gives out: the queue pops in the order of the priorities."""
-        k = min(probes, p.shape[1])
-        return np.argpartition(-p, k - 1, axis=1)[:, :k]
-
 
-def _fit(spark: SparkSession, vecs: DataFrame, n: int, dim: int, trees: int, leaf_rows: int) -> Forest:
-    rows = vecs.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()
+def _fit(spark: SparkSession, vecs: DataFrame, n: int, dim: int, trees: int, leaf_rows: int, fit_rows: int) -> Forest:
+    rows = vecs.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()
     x = unit([bytes(r["v"]) for r in rows], dim)
     return Forest(x, trees, max(1, min(-(-n // leaf_rows), len(x) // 8)))
 
 
+def _closest(q: np.ndarray, m: np.ndarray, same: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in q, in m) of the pairs that can be among the k closest of q and at least ``floor``."""
+    s = q @ m.T
+    s[same] = -2  # not itself
+    kk = min(k, s.shape[1])
+    low = np.partition(s, -kk, axis=1)[:, -kk] if kk < s.shape[1] else np.full(len(q), -2.0, dtype=np.float32)
+    return np.nonzero((s >= np.maximum(low, floor)[:, None] - 1e-5) & (s > -1.5))
+
+
+def _search_leaf(x: np.ndarray, y: np.ndarray, xi: np.ndarray, yi: np.ndarray, k: int, floor: float, leaf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (query, member) of the closest members of a leaf; xi and yi number the ids of queries x and members y."""
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def meet(qs: np.ndarray, ms: np.ndarray) -> None:
+        for at in range(0, len(qs), 2048):
+            rows = qs[at : at + 2048]
+            a, b = _closest(x[rows], y[ms], xi[rows][:, None] == yi[ms][None, :], k, floor)
+            got.append((rows[a], ms[b]))
+
+    if len(y) <= 2 * leaf_rows:
+        meet(np.arange(len(x)), np.arange(len(y)))
+    else:
+        rng = np.random.default_rng(len(y))
+        sample = y if len(y) <= FIT_ROWS else y[rng.choice(len(y), FIT_ROWS, replace=False)]
+        f = Forest(sample, LEAF_TREES, max(1, min(-(-len(y) // leaf_rows), len(sample) // 8)))
+        own = np.concatenate([f.visit(y[at : at + 4096], LEAF_TREES)[:, :LEAF_TREES] for at in range(0, len(y), 4096)])
+        by, leaves = np.argsort(own, axis=None, kind="stable"), np.sort(own, axis=None)
+        ends = np.searchsorted(leaves, np.arange(f.leaves + 1))
+        members = {i: by[ends[i] : ends[i + 1]] // own.shape[1] for i in range(f.leaves)}
+        for at in range(0, len(x), 4096):
+            seen = f.visit(x[at : at + 4096], LEAF_PROBES)
+            order, where = np.argsort(seen, axis=None, kind="stable"), np.sort(seen, axis=None)
+            for leaf in np.unique(where[where >= 0]):
+                lo, hi = np.searchsorted(where, leaf, "left"), np.searchsorted(where, leaf, "right")
+                ms = members[int(leaf)]
+                if len(ms):
+                    meet(at + order[lo:hi] // seen.shape[1], ms)
+    if not got:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    pair = np.unique(a.astype(np.int64) * len(y) + b)
+    return pair // len(y), pair % len(y)
+
+
 def neighbours(
     spark: SparkSession, vecs: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 64,
-    trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = PROBES,
+    trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = PROBES, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """(id, other, cosine): up to k most similar others of each row of ``vecs(id, v)``, at least ``min_cosine``.
 
@@ -166,52 +202,44 @@ def neighbours(
     n = vecs.count()
     if n < 2:
         return spark.createDataFrame([], schema)
-    forest = _fit(spark, vecs, n, dim, trees, leaf_rows)
+    forest = _fit(spark, vecs, n, dim, trees, leaf_rows, fit_rows)
     model = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = model.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                p = f.priorities(unit(b.column(1).to_pylist(), dim))
-                own, seen = f.own_leaves(p), f.visited(p, probes)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(seen.tolist(), pa.list_(pa.int32()))], ["id", "v", "own", "seen"])
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                seen = f.visit(unit(b.column(1).to_pylist(), dim), probes)
+                own = seen[:, : len(f.roots)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (own, seen)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "v", "own", "seen"])
 
     routed = Stored(spark, vecs.mapInArrow(route, "id string, v binary, own array<int>, seen array<int>"), "routed")
-    sizes = routed.df.select(F.explode("own").alias("leaf")).groupBy("leaf").count().collect()  # as many as leaves
-    blocks = spark.sparkContext.broadcast({r["leaf"]: -(-r["count"] // BLOCK_ROWS) for r in sizes})
-    parts = F.udf(lambda leaf: blocks.value.get(leaf, 0), "int") if any(r["count"] > BLOCK_ROWS for r in sizes) else None
     m = routed.df.select(F.explode("own").alias("leaf"), "id", "v", F.lit(False).alias("asks"))
-    q = routed.df.select(F.explode("seen").alias("leaf"), "id", "v", F.lit(True).alias("asks"))
-    if parts is None:
-        m, q = m.withColumn("block", F.lit(0)), q.withColumn("block", F.lit(0))
+    q = routed.df.select(F.explode("seen").alias("leaf"), "id", "v", F.lit(True).alias("asks")).where("leaf >= 0")
+    heavy = m.groupBy("leaf").count().where(F.col("count") > BLOCK_ROWS)
+    parts = Stored(spark, heavy.select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts")), "heavy-leaves")  # at most one row a leaf
+    if parts.df.limit(1).count():
+        split = lambda df: df.join(F.broadcast(parts.df), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        m = split(m).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        q = split(q).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     else:
-        m = m.withColumn("block", F.pmod(F.xxhash64("id"), parts("leaf")).cast("int"))
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(parts("leaf") - 1, F.lit(0)))))
+        m, q = m.withColumn("block", F.lit(0)), q.withColumn("block", F.lit(0))
 
     def rank(key, table):
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids = np.array(table.column("id").to_pylist(), dtype=object)
         x = unit(table.column("v").to_pylist(), dim)
+        code = table.column("id").combine_chunks().dictionary_encode()
+        number, names = code.indices.to_numpy(), code.dictionary
         mi, qi = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out_q, out_m, out_c = [], [], []
+        a = b = np.empty(0, np.int64)
         if len(mi) and len(qi):
-            mx, mids = x[mi].astype(np.float32), ids[mi]
-            for at in range(0, len(qi), 2048):
-                rows = qi[at : at + 2048]
-                s = x[rows].astype(np.float32) @ mx.T
-                s[ids[rows][:, None] == mids[None, :]] = -2  # not itself
-                kk = min(k, s.shape[1])
-                floor = np.partition(s, -kk, axis=1)[:, -kk] if kk < s.shape[1] else np.full(len(rows), -2.0, dtype=np.float32)
-                keep = (s >= np.maximum(floor, min_cosine)[:, None] - 1e-5) & (s > -1.5)
-                a, b = np.nonzero(keep)
-                c = np.einsum("ij,ij->i", x[rows[a]], x[mi[b]])  # exact
-                ok = c >= min_cosine
-                out_q += ids[rows[a[ok]]].tolist()
-                out_m += mids[b[ok]].tolist()
-                out_c += c[ok].tolist()
-        return pa.table({"id": pa.array(out_q, pa.string()), "other": pa.array(out_m, pa.string()), "cosine": pa.array(out_c, pa.float64())})
+            flat = x.astype(np.float32)
+            a, b = _search_leaf(flat[qi], flat[mi], number[qi], number[mi], k, min_cosine, leaf_rows)
+        c = np.einsum("ij,ij->i", x[qi[a]], x[mi[b]])  # exact
+        ok = c >= min_cosine
+        return pa.table({"id": names.take(pa.array(number[qi[a[ok]]])), "other": names.take(pa.array(number[mi[b[ok]]])), "cosine": pa.array(c[ok], pa.float64())})
 
     hits = m.unionByName(q).groupBy("leaf", "block").applyInArrow(rank, schema)
     best = hits.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))

@@ -253,8 +253,8 @@ def test_families_of_near_copies_stay_linear(spark, tmp_path, monkeypatch):
 # ---- 5 ----
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 50])
-def test_components(spark, rounds):
+@pytest.mark.parametrize("growth", [0, 2, groups.GROWTH, 10_000])
+def test_components(spark, growth):
     rnd = random.Random(5)
     n = 80
     e = [(f"{i:03}", f"{i + 1:03}") for i in range(30)] + [(f"{rnd.randrange(40, n):03}", f"{rnd.randrange(40, n):03}") for _ in range(25)] + [("000", "000"), (None, "001"), ("001", "000"), ("000", "001")]
@@ -269,7 +269,7 @@ def test_components(spark, rounds):
         if a and a != b:
             a, b = sorted((find(a), find(b)))
             up[b] = a
-    got = groups.components(spark, spark.createDataFrame(e, "u string, v string"), rounds)
+    got = groups.components(spark, spark.createDataFrame(e, "u string, v string"), growth)
     assert {(r.group_id, r.vertex) for r in got.collect()} == {(find(x), x) for x in up}
 
 
@@ -306,14 +306,40 @@ def test_neighbours_recall_copies_and_nulls(spark):
     assert neighbours.similar_pairs(spark, df.limit(0)).count() == 0
 
 
-def test_block_visit_is_the_queue_order():
+def test_visits_are_those_of_a_priority_queue():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 8))
     f = neighbours.Forest(x, 3, 20)
-    p = f.priorities(x[:20])
+    seen = f.visit(x[:20], 9)
     for i in range(20):
-        a, b = p[i, f.search(x[i], 6)], p[i, f.visited(p, 6)[i]]  # equal priorities may change places
-        assert np.allclose(np.sort(a), np.sort(b), atol=1e-5)
+        heap, want = [(-np.inf, r) for r in f.roots], []
+        while heap:
+            heap.sort()
+            d, node = heap.pop(0)
+            if node < 0:
+                want.append((d, ~node))
+                continue
+            m = float(np.float32(x[i].astype(np.float32) @ f.w[node] - f.b[node]))
+            near, far = f.sides[node][1 if m > 0 else 0], f.sides[node][0 if m > 0 else 1]
+            heap += [(max(d, -abs(m)), int(near)), (max(d, abs(m)), int(far))]
+        key = {leaf: max(d, 0.0) for d, leaf in want}  # equal keys may change places
+        assert np.allclose(sorted(key[leaf] for leaf in seen[i].tolist()), [max(d, 0.0) for d, _ in want[:9]], atol=1e-5)
+        assert {leaf for d, leaf in want if d < 0} == set(seen[i, :3].tolist())
+    assert (f.visit(x[:5], 10**6) >= 0).all() and f.visit(x[:0], 5).shape[0] == 0
+
+
+def test_grown_leaves_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    x = np.repeat(rng.normal(size=(500, 64)), 4, axis=0) + 0.3 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(f"c{i:04}", v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)], "id string, embedding array<float>, updated_at long")
+    v = x.astype(np.float32).astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = v @ v.T
+    np.fill_diagonal(s, -2)
+    want = {tuple(sorted((f"c{i:04}", f"c{j:04}"))) for i in range(2000) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.86}
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
+    got = {tuple(r) for r in neighbours.similar_pairs(spark, df, fit_rows=40, leaf_rows=32).collect()}
+    assert len(want) > 1000 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
 # ---- 7 ----
