@@ -106,6 +106,16 @@ SELECT s.id AS session_id FROM s LEFT JOIN k ON k.session_id = s.id LEFT JOIN g
 WHERE k.n IS NULL OR (k.ni > 0 AND k.ni < k.n) OR (k.ni = k.n AND (k.di <> k.n OR k.lo <> 0 OR k.hi <> k.n - 1))
   OR (k.ni = 0 AND (k.nt < k.n OR k.dt < k.n)) OR k.bad > 0 OR coalesce(g.us, 0) = 0 OR coalesce(g.asst, 0) = 0 OR g.open > 0
 """
+# Every pair of turns that share a shingle, by brute force.
+P4 = r"""
+WITH s AS (SELECT id, min(ingested_at) AS batch FROM sessions WHERE id IS NOT NULL AND ingested_at IS NOT NULL GROUP BY id),
+t AS (SELECT DISTINCT t.id, s.batch, regexp_extract_all(lower(t.text), '[\p{L}\p{N}]+') AS w FROM turns t JOIN s ON s.id = t.session_id
+  WHERE regexp_replace(lower(t.role), '^\s+|\s+$', '', 'g') IN ('user', 'assistant') AND t.text IS NOT NULL),
+g AS (SELECT DISTINCT id, batch, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM t WHERE len(w) >= 30),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS q, b.id AS h, count(*) AS same FROM g a JOIN g b ON a.x = b.x AND b.batch < a.batch GROUP BY 1, 2)
+SELECT DISTINCT p.q AS turn_id FROM p JOIN n a ON a.id = p.q JOIN n b ON b.id = p.h WHERE 10 * p.same >= 7 * (a.n + b.n - p.same)
+"""
 P6 = """
 WITH n AS (SELECT id, embedding FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS r FROM concepts_global WHERE id IS NOT NULL) WHERE r = 1),
 v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM n WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
@@ -117,4 +127,4 @@ P7_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p5_found": P5, "p6_found": P6, "p7_decoded": P7_DECODED}
+    return {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_decoded": P7_DECODED}
