@@ -50,6 +50,8 @@ MEETINGS = 3
 RANGES = 32
 #: A cell with more vectors than this is split over several tasks.
 CELL_ROWS = 4_096
+#: Rows of cells that one task should hold.
+TASK_CELLS = 250_000
 #: Candidate ids up to this number are broadcast to the scan of the vectors (16 bytes an id); more are joined by a shuffle.
 IDS_BROADCAST = 1_000_000
 #: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
@@ -186,13 +188,17 @@ class HistoryIndex:
         df = self.spark.read.schema(f"{schema}, range int").option("basePath", f"{self.path}/{what}").parquet(*paths).drop("entry")
         return df if ranges is None else df.where(F.col("range").isin(ranges))
 
-    def _write(self, rows: DataFrame, what: str, entry: str, key: str) -> None:
-        """The rows of an entry by ranges of their key; what an attempt before left there goes."""
+    def _placed(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows with the range of their key, each range in one task or, if there are more tasks than ranges, in some."""
         n = self.settings["ranges"]
-        share = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)  # tasks a range
-        r = rows.withColumn("range", self._range(F.col(key)))
-        r = r.repartition(n * share, "range", F.pmod(F.col(key), F.lit(share)))
-        r.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/{what}/entry={entry}")
+        tasks = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)
+        r = rows.withColumn("range", self._range(F.col(key))).withColumn("share", F.pmod(F.col(key), F.lit(tasks)))
+        return r.repartition(n * tasks, "range", "share")
+
+    def _write(self, placed: DataFrame, what: str, entry: str) -> None:
+        """The rows of an entry by ranges; what an attempt before left there goes."""
+        names = [c.split()[0] for c in {"sets": self.SETS, "cells": self.CELLS}[what].split(", ")]
+        placed.select(*names, "range").write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/{what}/entry={entry}")
 
     def _range(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.settings["ranges"])).cast("int")
@@ -244,6 +250,20 @@ class HistoryIndex:
         rest = F.least(qp, hp) + F.least(qn - qp, hn - hp)  # coordinates before this cell, and from it on
         return (100 * hn >= p * qn) & (100 * qn >= p * hn) & self._near(rest, qn, hn)
 
+    def _often(self, met: DataFrame, h: str) -> DataFrame:
+        """(q, h, met): the pairs that meet in as many probed cells as near ones must.
+
+        Of what two vectors share, what does not meet in probed cells lies behind
+        the probed coordinates of one of them; of n coordinates all but
+        ceil(percent * n / 100) - MEETINGS are probed.
+        """
+        p = self.settings["percent"]
+        qn, hn = F.col("qn"), F.col(f"{h}n")
+        needed = F.ceil(p * (qn + hn) / (100 + p))
+        behind = F.greatest(F.ceil(p * F.greatest(qn, hn) / 100) - MEETINGS, F.lit(0))
+        least = F.greatest(F.least(F.lit(MEETINGS), needed), needed - behind).cast("int")
+        return met.groupBy("q", "h").agg(F.count("*").alias("met"), F.first(least).alias("least")).where("met >= least").drop("least")
+
     def _verified(self, pairs: Stored, entries: list[str]) -> Stored:
         """(q) of the pairs (q, h) of sids whose full vectors are near; q is the set_id."""
         ids = pairs.df.select(F.col("q").alias("sid")).union(pairs.df.select("h"))
@@ -256,8 +276,9 @@ class HistoryIndex:
 
     def _repeats(self, entry: str, before: list[str]) -> DataFrame:
         """(set_id) of the entry's new vectors that have a near one in an earlier batch."""
-        spark, n = self.spark, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spark = self.spark
         own = self._table("cells", [entry]).withColumn("new", F.lit(True))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() // TASK_CELLS + 1)
         pool = own
         if before:
             touched = own.select("cell").distinct()
@@ -268,18 +289,18 @@ class HistoryIndex:
         alive = alive.where("oldest.batch < latest").select("cell", "oldest", (F.floor((F.col("size") - 1) / CELL_ROWS) + 1).cast("int").alias("parts"))
         live = Stored(spark, pool.join(alive, "cell"), "live-cells")
         asks = live.df.where("new and oldest.batch < batch").select("cell", F.col("sid").alias("q"), F.col("hn").alias("qn"), F.col("hp").alias("qp"), "batch", "parts", "oldest.h", "oldest.fn", "oldest.fp")
-        # first the oldest vector that a query meets in most of its cells
-        met = asks.where(self._can("q", "f")).groupBy("q", "h").count()
-        first = Stored(spark, met.groupBy("q").agg(F.max_by("h", F.struct("count", "h")).alias("h")), "first-pairs")
+        # first the oldest vector that a query meets in most of its cells, if it meets it often
+        met = self._often(asks.where(self._can("q", "f")), "f")
+        first = Stored(spark, met.groupBy("q").agg(F.max_by("h", F.struct("met", "h")).alias("h")), "first-pairs")
         every = [*before, entry]
         found = self._verified(first, every)
         # then all vectors of the cells, for the queries that are left
-        left = asks.join(found.df.select("q").distinct(), "q", "left_anti")
-        left = left.select("cell", "q", "qn", "qp", F.col("batch").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        have = live.df.select("cell", F.col("sid").alias("h"), "hn", "hp", "batch", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"))
-        needed = F.ceil(self.settings["percent"] * (F.col("qn") + F.col("hn")) / (100 + self.settings["percent"]))
-        met = have.join(left, ["cell", "part"]).where((F.col("batch") < F.col("qb")) & self._can("q", "h"))
-        often = met.groupBy("q", "h").agg(F.count("*").alias("met"), F.first(needed).alias("needed")).where(F.col("met") >= F.least(F.lit(MEETINGS), "needed"))
+        left = asks.join(found.df.select("q").distinct(), "q", "left_anti").select("cell", "q", "qn", "qp", F.col("batch").alias("qb"), "parts")
+        have = live.df.select("cell", F.col("sid").alias("h"), "hn", "hp", "batch", "parts")
+        split = left.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        heavy = have.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).drop("parts").join(split, ["cell", "part"]).drop("part")
+        met = have.where("parts = 1").drop("parts").join(left.where("parts = 1").drop("parts"), "cell").unionByName(heavy)
+        often = self._often(met.where((F.col("batch") < F.col("qb")) & self._can("q", "h")), "h")
         rest = Stored(spark, often.select("q", "h"), "pairs")
         self.pairs = (first.df.count(), rest.df.count())
         more = self._verified(rest, every)
@@ -304,8 +325,9 @@ class HistoryIndex:
             if not before:
                 coordinate_order(raw.df).write.mode("overwrite").parquet(f"{self.path}/order")
                 self._order = None
-            sets = raw.df.groupBy("set_id").agg(F.min("batch").alias("batch"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
-            sets = sets.withColumn("sid", F.xxhash64("set_id")).select("set_id", "sid", "batch", "n", "vec")
+            # put where they are written to, then one of each: so the vectors are shuffled once
+            placed = self._placed(raw.df.withColumn("sid", F.xxhash64("set_id")), "sid")
+            sets = placed.groupBy("range", "share", "set_id", "sid").agg(F.min("batch").alias("batch"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"))
             status = None
             if before:
                 new = light.df.select("set_id", F.xxhash64("set_id").alias("sid")).distinct()
@@ -317,10 +339,10 @@ class HistoryIndex:
                 if last is not None and low is not None and low <= last:
                     raise ValueError(f"batch {low} is not later than {last}, which was accepted before")
                 sets, status = sets.join(known.df, "set_id", "left_anti"), known.df.withColumn("near", F.lit(False))
-            self._write(sets, "sets", entry, "sid")
+            self._write(sets, "sets", entry)
             raw.drop()
             fresh = self._table("sets", [entry])
-            self._write(self._probed(fresh), "cells", entry, "cell")
+            self._write(self._placed(self._probed(fresh), "cell"), "cells", entry)
             near = self._repeats(entry, before).withColumn("near", F.lit(True))
             own = fresh.select("set_id", "batch").join(near, "set_id", "left").select("set_id", "batch", F.coalesce("near", F.lit(False)).alias("near"))
             status = own if status is None else status.unionByName(own)
