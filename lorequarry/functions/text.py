@@ -1,9 +1,13 @@
 """Column functions on text: trimming, names, full-text terms, labels and scores."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorequarry import schema as S
+
 _c = F.col
 
 
@@ -40,17 +44,17 @@ def skill_name(c) -> Column:
 
 
 def drop_repeated_lines(c) -> Column:
-    """Lines without those over 20 characters that repeat the last one kept, and without rules after the first."""
-    lines = F.split(col(c), "\n")
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("prev"))
+    """Lines without those over 20 characters that repeat the last one kept, and without rules after the first.
 
-    def step(acc, line):
-        bare = F.regexp_replace(line, r"\s+$", "")
-        repeat = (bare == acc["prev"]) & (F.length(bare) > 20)
-        rule = bare.rlike(r"^[-+]{3,}\s*$") & (F.size(acc["kept"]) > 0)
-        return F.when(repeat | rule, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(line)).alias("kept"), bare.alias("prev")))
-
-    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["kept"], "\n"))
+    A dropped repeat is equal to the line kept before it, so each line is held
+    against its neighbour only, in one pass.
+    """
+    bare = lambda x: F.regexp_replace(x, r"\s+$", "")
+    lines = F.filter(F.split(col(c), "\n"), lambda x, i: (i == 0) | ~bare(x).rlike(r"^[-+]{3,}$"))
+    shifted = lambda a: F.concat(F.array(F.lit(None).cast("string")), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+    pairs = lambda a: F.zip_with(a, shifted(a), lambda x, p: F.when(~F.coalesce((bare(x) == bare(p)) & (F.length(bare(x)) > 20), F.lit(False)), x))
+    # the lines as a variable of an outer function: worked out once, not once a line
+    return F.array_join(F.array_compact(F.get(F.transform(F.array(lines), pairs), F.lit(0))), "\n")
 
 
 def clean_turn(c, limit: int = 12_000) -> Column:
@@ -107,10 +111,21 @@ def language_weight(files) -> Column:
 # ---- full text ----
 
 
+def _unaccented() -> tuple[str, str]:
+    """The letters of the Latin, Greek and Cyrillic blocks that carry marks, and the letters under them."""
+    ranges = (range(0xC0, 0x530), range(0x1E00, 0x2000))
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for r in ranges for i in r if chr(i).islower()]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(x) for x in b[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _unaccented()
+
+
 def plain(c) -> Column:
     """Lower case without accents, terms apart by one blank, a blank at either end."""
     c = F.lower(F.coalesce(col(c), F.lit("")))
-    bare = F.translate(c, "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
+    bare = F.regexp_replace(F.translate(c, _MARKED, _BARE), r"\p{Mn}+", "")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
@@ -150,3 +165,28 @@ def strip_tags(c) -> Column:
 def cache_key(*parts) -> Column:
     """SHA-256 of the parts as one JSON object."""
     return F.sha2(F.to_json(F.struct(*[col(p) for p in parts])), 256)
+
+
+def clamp(c, limit: int, marker: str = "\n...[trimmed]...\n", reserve: int = 32) -> Column:
+    """The two ends of a text over the limit around a marker."""
+    c, half = col(c), (limit - reserve) // 2
+    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, half), F.lit(marker), F.substring(c, -half, half))).otherwise(c)
+
+
+def known_level(c) -> Column:
+    """A written level in its normal spelling, or ``competent`` for what is none."""
+    n = F.regexp_replace(F.lower(strip(c)), r"[\s\-]+", "_")
+    return F.when(n.isin(*S.LEVELS), n).otherwise("competent")
+
+
+def written_fields(c) -> Column:
+    """The entries of a map of strings whose value is more than blanks, with trimmed values."""
+    return F.transform_values(F.map_filter(col(c), lambda k, v: F.length(strip(v)) > 0), lambda k, v: strip(v))
+
+
+def org_of_remote(url) -> Column:
+    """The owner that a repository's remote names, in scp or URL form; null if it has neither form."""
+    u = col(url)
+    scp = F.regexp_extract(u, r"^[^@\s]+@[^:\s]+:([^/\s]+)/[^/\s]+?(?:\.git)?$", 1)
+    web = F.regexp_extract(u, r"^[a-z]+://[^/\s]+/([^/\s]+)/[^/\s]+?(?:\.git)?/?$", 1)
+    return F.nullif(F.coalesce(F.nullif(scp, F.lit("")), web), F.lit(""))

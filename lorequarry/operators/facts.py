@@ -26,6 +26,11 @@ def anchor_gate(facts: DataFrame, least: float = 0.45, most: int = 8) -> DataFra
     return ok.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
 
 
+def clusterable(facts: DataFrame) -> DataFrame:
+    """Facts that can belong to a concept: all but evidence, zones and incident records."""
+    return facts.where(~F.col("kind").isin(*S.EVIDENCE_KINDS))
+
+
 # ---- writes ----
 
 
@@ -76,16 +81,6 @@ def cascade(child: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 # ---- duplicates ----
 
 
-def similar_edges(items: DataFrame, block: str, least: float) -> DataFrame:
-    """(a, b), a before b in (created_at, id) order, of one block with a cosine of at least ``least``."""
-    cols = [F.col(block).alias("block"), "id", "created_at", "embedding"]
-    a = items.select(*cols).alias("a")
-    b = items.select(*cols).alias("b")
-    before = (F.col("a.created_at") < F.col("b.created_at")) | ((F.col("a.created_at") == F.col("b.created_at")) & (F.col("a.id") < F.col("b.id")))
-    j = a.join(b, (F.col("a.block") == F.col("b.block")) & before)
-    return j.where(V.cosine("a.embedding", "b.embedding") >= least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
-
 def leaders(spark: SparkSession, items: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, leader): each row is a leader unless an earlier leader is adjacent; then it belongs to the earliest.
 
@@ -201,9 +196,14 @@ def pairs_to_verify(facts: DataFrame, most: int = 5) -> DataFrame:
     return j.select(F.col("a.cluster_id").alias("cluster_id"), F.col("a.kind").alias("kind"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def searched(facts: DataFrame) -> list[str]:
+    """The columns of a fact in which full text is searched; evidence if there is any."""
+    return [c for c in ("id", "title", "summary", "evidence") if c in facts.columns]
+
+
 def recall(facts: DataFrame, query: str, kinds: tuple[str, ...] = (), scope: str | None = None, enrichment: bool = False, limit: int = 20) -> DataFrame:
     """Facts that hold all terms of a query, best first; filters reach the scan, the order is total."""
-    f = facts.where(T.matches(["id", "title", "summary"], query))
+    f = facts.where(T.matches(searched(facts), query))
     if kinds:
         f = f.where(F.col("kind").isin(*kinds))
     if scope:

@@ -1,10 +1,14 @@
 """Joins over code, concepts and projects: resolution, links, gaps, hierarchy."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.session import Stored
 
 # What a shared key of each kind counts.
 SIGNAL_WEIGHTS = {"business": 3.0, "tech": 2.0, "concept": 1.0, "industry": 1.0, "skill": 0.5}
@@ -91,18 +95,58 @@ def entities_from_code(tables: DataFrame, foreign_keys: DataFrame) -> tuple[Data
     return ents, rel
 
 
-def gaps(entities: DataFrame, relations: DataFrame, rules: DataFrame) -> DataFrame:
+#: So many names make one automaton; more are looked for block by block, each in one pass over the texts.
+NAMES_A_BLOCK = 200_000
+
+
+def mentioned(spark: SparkSession, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name) of names(name), in lower case, that some text of texts(text) contains, in any case, inside words too.
+
+    Names are compiled into automata that find all of them in one pass over a
+    text. Null and empty names and texts take no part.
+    """
+    n = Stored(spark, names.select(F.lower("name").alias("name")).where("name <> ''").distinct(), "names")
+    blocks = max(1, -(-n.df.count() // NAMES_A_BLOCK))
+    t = texts.select(F.lower("text").alias("text")).where("text <> ''")
+
+    def search(words: list[str]):
+        sent = spark.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for w in sent.value:
+                a.add_word(w, w)
+            a.make_automaton()
+            found: set[str] = set()
+            for b in batches:
+                new = {w for x in b.column(0).to_pylist() for _, w in a.iter(x)} - found
+                found |= new
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["name"])
+
+        return t.mapInArrow(run, "name string")
+
+    out = n.df.limit(0)
+    for k in range(blocks):  # a block is bounded, whatever the number of names
+        words = [r[0] for r in n.df.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect()]
+        if words:
+            out = out.union(search(words))
+    return out.distinct()
+
+
+def gaps(spark: SparkSession, entities: DataFrame, relations: DataFrame, rules: DataFrame) -> DataFrame:
     """(kind, entity, detail): external targets, and related entities that no rule mentions.
 
-    The rules are exploded into terms and joined by equality; an entity of one
-    term is mentioned where that term occurs.
+    A rule mentions an entity whose name it contains in any case, names of
+    several words too.
     """
     ext = relations.join(entities.where("external").select(F.col("name").alias("dst")), "dst", "left_semi")
     g1 = ext.groupBy("dst").agg(F.array_join(F.array_sort(F.collect_set("src")), ", ").alias("detail")).select(F.lit("external_ref").alias("kind"), F.col("dst").alias("entity"), "detail")
     ends = relations.select(F.col("src").alias("entity")).union(relations.select(F.col("dst").alias("entity"))).distinct()
     inside = ends.join(entities.where("not external").select(F.col("name").alias("entity")), "entity", "left_semi")
-    terms = rules.select(F.explode(F.split(F.trim(T.plain("text")), " ")).alias("entity")).distinct()
-    g2 = inside.join(terms, "entity", "left_anti").select(F.lit("ungoverned").alias("kind"), "entity", F.lit("").alias("detail"))
+    told = mentioned(spark, inside.select(F.col("entity").alias("name")), rules).select(F.col("name").alias("entity"))
+    g2 = inside.join(told, "entity", "left_anti").select(F.lit("ungoverned").alias("kind"), "entity", F.lit("").alias("detail"))
     return g1.unionByName(g2)
 
 

@@ -59,7 +59,7 @@ class Knowledge:
 
     def ask(self, query: str, inferred: bool = False, limit: int = 25) -> DataFrame:
         ok = ("structural", "corroborated", "stated") + (("external", "model") if inferred else ())
-        f = self.facts.where(T.matches(["id", "title", "summary"], query, every=False) & F.coalesce("grounding", F.lit("stated")).isin(*ok))
+        f = self.facts.where(T.matches(FA.searched(self.facts), query, every=False) & F.coalesce("grounding", F.lit("stated")).isin(*ok))
         return f.orderBy(F.desc("confidence"), "id").limit(limit)
 
     def for_file(self, path: str, kinds: tuple[str, ...] = (), limit: int = 20) -> DataFrame:

@@ -58,16 +58,17 @@ FACTS = """facts AS (SELECT CAST(doc_id AS VARCHAR) AS id,
 
 # ---- windows ----
 
-_WINDOWS = r"""WITH t AS (SELECT session_id, idx, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns WHERE idx IS NOT NULL AND session_id IS NOT NULL {dedupe}),
-x AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS ex FROM t),
-y AS (SELECT *, row_number() OVER (PARTITION BY session_id, ex ORDER BY idx) AS k,
-  coalesce(sum(length(text)) OVER (PARTITION BY session_id, ex ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x WHERE ex > 0),
-g AS (SELECT session_id, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS n_turns,
-  bool_or(role IN ('assistant', 'tool')) AS answered,
-  regexp_replace(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY idx), '^\s+|\s+$', '', 'g') AS text
-  FROM y WHERE k <= {turns} AND before < {chars} GROUP BY session_id, ex)
-SELECT substr(sha1(session_id || '|' || start_idx || '|' || end_idx || '|' || sha1(text)), 1, 16) AS window_id, session_id, start_idx, end_idx, n_turns, sha1(text) AS text_hash
-FROM g WHERE answered"""
+_WINDOWS_CTE = r"""t AS (SELECT DISTINCT id, session_id, idx, ts, coalesce(role, '') AS role, coalesce(text, '') AS text, lower(regexp_replace(coalesce(role, ''), '^\s+|\s+$', '', 'g')) AS who FROM turns WHERE session_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx NULLS LAST, CASE WHEN idx IS NULL THEN ts END NULLS LAST, id) AS n,
+  coalesce(max(idx) OVER (PARTITION BY session_id), -1) AS top, count(idx) OVER (PARTITION BY session_id) AS given FROM t),
+x AS (SELECT *, coalesce(idx, top + n - given) AS place, sum(CASE WHEN who = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY n) AS ex FROM o),
+y AS (SELECT *, row_number() OVER (PARTITION BY session_id, ex ORDER BY n) AS k,
+  coalesce(sum(length(text)) OVER (PARTITION BY session_id, ex ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x WHERE ex > 0),
+g AS (SELECT session_id, min(place) AS start_idx, max(place) AS end_idx, count(*) AS n_turns, bool_or(who IN ('assistant', 'tool')) AS answered,
+  regexp_replace(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS text
+  FROM y WHERE k <= {turns} AND before < {chars} GROUP BY session_id, ex),
+w AS (SELECT substr(sha1(session_id || '|' || start_idx || '|' || end_idx || '|' || sha1(text)), 1, 16) AS window_id, session_id, start_idx, end_idx, n_turns, sha1(text) AS text_hash, text FROM g WHERE answered)"""
+_WINDOWS = f"WITH {_WINDOWS_CTE} SELECT * EXCLUDE (text) FROM w"
 
 
 def _turns(spark, d):
@@ -75,15 +76,12 @@ def _turns(spark, d):
     return load(spark, d, "turns").select("id", "session_id", "idx", "role", "text", "ts").distinct()
 
 
-_DEDUPE = "QUALIFY row_number() OVER (PARTITION BY session_id, idx ORDER BY id) = 1"
-
-
-@query(_WINDOWS.format(dedupe=_DEDUPE, turns=12, chars=8000))
+@query(_WINDOWS.format(turns=12, chars=8000))
 def segment_windows(spark, d):
     return W.segment(_turns(spark, d)).drop("text")
 
 
-@query(_WINDOWS.format(dedupe=_DEDUPE, turns=2, chars=150))
+@query(_WINDOWS.format(turns=2, chars=150))
 def segment_windows_small_caps(spark, d):
     return W.segment(_turns(spark, d), 2, 150).drop("text")
 
@@ -93,16 +91,13 @@ def window_briefs(spark, d):
     return W.brief(W.segment(_turns(spark, d)))
 
 
-@query("""SELECT id, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '^(?:I''ll |I will |Let me |Sure[,!]? |Okay[,!]? )', '', 'i') AS cleaned_head
-FROM (SELECT DISTINCT id, text FROM turns WHERE text IS NULL OR (NOT contains(text, chr(10)) AND length(text) < 12000 AND NOT contains(text, '```')))""")
-def clean_single_line_turns(spark, d):
-    t = load(spark, d, "turns").select("id", "text").distinct().where("text is null or (not contains(text, '\n') and length(text) < 12000 and not contains(text, '```'))")
-    return t.select("id", T.clean_turn("text").alias("cleaned_head"))
-
-
-@query()
+@query(r"""WITH a AS (SELECT DISTINCT id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)```(?:thinking|thought).*?```', '', 'g'), '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM turns),
+b AS (SELECT id, text, list_filter(l, lambda x, i: i = 1 OR NOT regexp_matches(regexp_replace(x, '\s+$', ''), '^[-+]{3,}$')) AS l FROM a),
+c AS (SELECT id, text, list_filter(l, lambda x, i: i = 1 OR NOT (length(regexp_replace(x, '\s+$', '')) > 20 AND regexp_replace(x, '\s+$', '') = regexp_replace(l[i - 1], '\s+$', ''))) AS l FROM b),
+e AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(array_to_string(l, chr(10)), '^\s+|\s+$', '', 'g'), '^(?:I''ll |I will |Let me |Sure[,!]? |Okay[,!]? )', '', 'i'), '^\s+|\s+$', '', 'g') AS t FROM c)
+SELECT id, CASE WHEN length(t) > 12000 THEN left(t, 5980) || chr(10) || chr(10) || '...[trimmed ' || (length(t) - 12000) || ' chars]...' || chr(10) || chr(10) || right(t, 5980) ELSE t END AS cleaned FROM e""")
 def clean_turns(spark, d):
-    return load(spark, d, "turns").select("id", T.clean_turn("text").alias("cleaned"))
+    return load(spark, d, "turns").select("id", "text").distinct().select("id", T.clean_turn("text").alias("cleaned"))
 
 
 @query("SELECT lower(trim(role)) AS role, count(*) AS n, count(DISTINCT session_id) AS sessions, sum(length(text)) AS chars FROM turns GROUP BY 1")
@@ -115,13 +110,6 @@ def session_bounds(spark, d):
     return load(spark, d, "turns").where("session_id is not null").groupBy("session_id").agg((F.max("idx") + 1).alias("next_idx"), F.max("ts").alias("ended_at"), F.min("ts").alias("started_at"))
 
 
-@query("""SELECT agent, id FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at NULLS LAST, id) AS k FROM (SELECT DISTINCT id, agent, started_at, ingested_at FROM sessions QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1)
- WHERE coalesce(started_at, ingested_at) >= 1746000000000 - 365::BIGINT * 86400000 AND agent NOT IN ('docs')) WHERE k <= 200""")
-def ingestible_sessions(spark, d):
-    s = load(spark, d, "sessions").groupBy("id").agg(F.min_by("agent", "ingested_at").alias("agent"), F.min_by("started_at", "ingested_at").alias("started_at"), F.min("ingested_at").alias("ingested_at"))
-    return W.ingestible(s, NOW, ("docs",)).select("agent", "id")
-
-
 @query("""WITH l AS (SELECT DISTINCT id AS window_id, text, CASE WHEN length(text) < 20 THEN 'chitchat' WHEN length(text) % 11 = 0 THEN 'off_topic' ELSE 'on_topic' END AS relevance,
  CASE WHEN length(text) % 7 = 0 THEN 'noise' WHEN length(text) % 7 = 1 THEN 'decision_grade' ELSE 'signal' END AS quality, CASE WHEN length(text) % 13 = 0 THEN 'unrelated' ELSE 'linked' END AS linkage, length(text) % 10 / 10.0 AS confidence FROM turns WHERE text IS NOT NULL)
 SELECT relevance, quality, count(*) FILTER (NOT (confidence >= 0.6 AND (quality = 'noise' OR relevance = 'off_topic' OR linkage = 'unrelated' OR (relevance = 'chitchat' AND quality <> 'decision_grade')))) AS kept, count(*) AS n FROM l GROUP BY 1, 2""")
@@ -232,11 +220,6 @@ def code_symbols(spark, d):
     return C.symbols(load(spark, d, "source_files"))
 
 
-@query(r"""SELECT path, lower(t) AS table_name FROM (SELECT path, unnest(regexp_extract_all(regexp_replace(source, '--[^\n]*', '', 'g'), 'create\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)', 1, 'i')) AS t FROM source_files WHERE regexp_matches(lower(path), '\.(sql|ddl)$'))""")
-def ddl_table_names(spark, d):
-    return C.ddl_tables(load(spark, d, "source_files"))
-
-
 @query(r"""SELECT lower(regexp_extract(path, '\.(\w+)$', 1)) AS ext, count(*) AS files, sum(length(source)) AS chars FROM source_files GROUP BY 1""")
 def source_languages(spark, d):
     return load(spark, d, "source_files").groupBy(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("ext")).agg(F.count("*").alias("files"), F.sum(F.length("source")).alias("chars"))
@@ -266,15 +249,6 @@ def unique_suffix_resolve(spark, d):
     return L.resolve_paths(p.select(F.regexp_extract("path", r"[^/]+$", 0).alias("mention")), p)
 
 
-@query(r"""WITH s AS (SELECT path, unnest(regexp_extract_all(source, '(?m)^func\s+(\w+)', 1)) AS name FROM source_files WHERE lower(path) LIKE '%.go'), c AS (SELECT name, count(*) AS n FROM s GROUP BY 1)
-SELECT CASE WHEN n = 1 THEN 'resolved' WHEN n BETWEEN 2 AND 5 THEN 'candidates' ELSE 'open' END AS state, count(*) AS names FROM c GROUP BY 1""")
-def name_resolution_counts(spark, d):
-    s = load(spark, d, "source_files").where("lower(path) like '%.go'")
-    nodes = s.select("path", F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^func\s+(\w+)"), 1)).alias("name")).withColumn("kind", F.lit("function")).withColumn("id", F.concat_ws("#", "path", "name"))
-    calls = nodes.select(F.lit("caller").alias("caller"), F.col("name").alias("callee_name")).distinct()
-    return L.resolve_calls(calls, nodes).groupBy("state").agg(F.count("*").alias("names"))
-
-
 # ---- facts ----
 
 
@@ -298,18 +272,6 @@ def exact_duplicate_docs(spark, d):
     return x.join(g, "h").where("doc_id <> survivor").select(F.col("doc_id").alias("dup"), "survivor")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4""")
-def similar_edges_by_label(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("created_at"), "embedding")
-    return FA.similar_edges(e, "label", 0.4)
-
-
-@query()
-def leader_dedupe(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("created_at"), "embedding")
-    return FA.leaders(spark, e, FA.similar_edges(e, "label", 0.35))
-
-
 @query("""SELECT label, max(n) AS n, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, count(*) AS n, round(avg(x), 4) AS m FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, pos) GROUP BY label""")
 def centroid_by_label(spark, d):
     c = FA.centroids(load(spark, d, "embeddings"), "label")
@@ -363,15 +325,6 @@ def upsert_by_key(spark, d):
     return FA.upsert(s, new, ["id"], if_set=("name",))
 
 
-@query("""SELECT DISTINCT least_src AS src, dst, kind FROM (SELECT coalesce(m.b, l.a) AS least_src, l.b AS dst, lower(trim(l.kind)) AS kind FROM (SELECT DISTINCT a, b, kind FROM concept_links WHERE a IS NOT NULL AND b IS NOT NULL) l LEFT JOIN (SELECT a, min(b) AS b FROM concept_links WHERE lower(trim(kind)) = 'supersedes' AND a <> b AND a IS NOT NULL AND b IS NOT NULL GROUP BY a) m ON m.a = l.a) WHERE least_src <> dst""")
-def redirect_edges(spark, d):
-    l = load(spark, d, "concept_links").where("a is not null and b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lower(F.trim("kind")).alias("kind"))
-    m = l.where("kind = 'supersedes' and src <> dst").groupBy("src").agg(F.min("dst").alias("survivor"))
-    a = m.select(F.col("src").alias("dup"), "survivor")
-    out = l.join(a.withColumnRenamed("dup", "src"), "src", "left").select(F.coalesce("survivor", "src").alias("src"), "dst", "kind")
-    return out.where("src <> dst").distinct()
-
-
 # ---- links and graph ----
 
 
@@ -448,16 +401,6 @@ def external_refs(spark, d):
     return v.join(names, "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("n")).select(F.lit("external_ref").alias("kind"), "entity", "n")
 
 
-@query(r"""WITH e AS (SELECT unnest(['customer', 'orders', 'lineitem', 'supplier', 'tier']) AS name, unnest([false, false, false, false, true]) AS external), r AS (SELECT unnest(['orders', 'lineitem', 'customer']) AS src, unnest(['customer', 'orders', 'tier']) AS dst),
-w AS (SELECT DISTINCT unnest(string_split(regexp_replace(lower(p_name || ' orders'), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM part)
-SELECT 'external_ref' AS kind, dst AS entity, string_agg(src, ', ' ORDER BY src) AS detail FROM r JOIN e ON e.name = dst AND external GROUP BY dst
-UNION ALL SELECT DISTINCT 'ungoverned', x, '' FROM (SELECT src AS x FROM r UNION SELECT dst FROM r) JOIN e ON e.name = x AND NOT external WHERE x NOT IN (SELECT term FROM w)""")
-def domain_gaps(spark, d):
-    e = spark.createDataFrame([("customer", False), ("orders", False), ("lineitem", False), ("supplier", False), ("tier", True)], "name string, external boolean")
-    r = spark.createDataFrame([("orders", "customer"), ("lineitem", "orders"), ("customer", "tier")], "src string, dst string")
-    return L.gaps(e, r, load(spark, d, "part").select(F.concat("p_name", F.lit(" orders")).alias("text")))
-
-
 @query("""WITH a AS (SELECT c_custkey AS id, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer), b AS (SELECT regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS k, min(s_suppkey) AS sid FROM supplier GROUP BY 1)
 SELECT a.id AS stated_id, b.sid AS structural_id FROM a JOIN b ON replace(a.k, 'customer', 'supplier') = b.k""")
 def reconcile_names(spark, d):
@@ -478,12 +421,6 @@ def ordered_successor_edges(spark, d):
     return o.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("src"), "dst")
 
 
-@query("""SELECT 'customer' AS layer, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'turns', count(*) FROM turns""")
-def layer_counts(spark, d):
-    out = [load(spark, d, t).agg(F.lit(t).alias("layer"), F.count("*").alias("n")) for t in ("customer", "supplier", "turns")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @query("""SELECT user_id AS project, count(*) AS total_sessions, count(*) FILTER (epoch_ms(ts) >= 1706572800000 - 30 * 86400000::BIGINT) AS recent_sessions,
  greatest(0, floor((1706572800000 - max(epoch_ms(ts))) / 86400000.0 + 0.5))::BIGINT AS idle_days, CASE WHEN greatest(0, floor((1706572800000 - max(epoch_ms(ts))) / 86400000.0 + 0.5)) <= 90 THEN 'active' ELSE 'archived' END AS status FROM events GROUP BY user_id""")
 def activity_recency(spark, d):
@@ -491,12 +428,6 @@ def activity_recency(spark, d):
     return P.activity(e, 1_706_572_800_000)
 
 
-@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY user_id""")
-def pivot_sections(spark, d):
-    e = load(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"))
-    return e
-
-
 @query("""SELECT lower(c.name) AS name, count(DISTINCT c.project_id) AS projects, min(c.summary) AS summary FROM concepts_global c JOIN projects p ON p.id = c.project_id WHERE c.name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT c.project_id) > 1""")
 def concept_spread(spark, d):
     c = load(spark, d, "concepts_global").where("name is not null")
@@ -539,12 +470,6 @@ def ingest_facts(spark, d):
     return P.ingest(spark, _turns(spark, d), NOW)["facts"]
 
 
-@query()
-def organized_skills(spark, d):
-    s = skill_synthesis(spark, d)
-    return P.organize(s.withColumn("kind", F.substring_index("kind", " ", 1)), s)
-
-
 @query("""SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)) GROUP BY user_id, g""")
 def session_activity(spark, d):
     e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -567,8 +492,11 @@ def hourly_stream(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from lorequarry.plans import catalogue_store  # noqa: F401  registers its queries
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -37,6 +37,11 @@ def to_analyse(files: DataFrame, profile: str, most: int = 500) -> DataFrame:
     return f.orderBy("tier", "path").limit(most)
 
 
+def file_layers(files: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(path, layer): every file, with ``other`` where it has not been analysed."""
+    return files.select("path").join(analysis.select("path", "layer"), "path", "left").select("path", F.coalesce("layer", F.lit("other")).alias("layer"))
+
+
 def vote_layers(analysis: DataFrame) -> DataFrame:
     """Layers of files (path, dir, layer); those without one take their directory's commonest."""
     n = analysis.where("layer <> 'other'").groupBy("dir", "layer").count()

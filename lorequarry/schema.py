@@ -13,6 +13,24 @@ AGENTS = ("cursor", "claude-code", "codex", "copilot", "docs")
 CORE_KINDS = ("decision", "business_rule", "entity", "constraint", "requirement", "actor", "process", "metric")
 ANCHORED_KINDS = ("intent", "problem", "solution", "pattern")
 DEDUPE_KINDS = ("entity", "business_rule", "requirement", "feature", "constraint", "actor", "process", "metric", "glossary_term", "decision")
+EVIDENCE_KINDS = (
+    "path_mention", "code_block", "shell_command", "error_message", "stack_trace", "ticket_id", "url", "dependency", "tool",
+    "knowledge_gap", "business_domain", "tech_domain", "incident", "root_cause",
+)
+GRAPH_KINDS = (
+    "business_domain", "tech_domain", "entity", "requirement", "feature", "incident", "root_cause", "business_rule", "skill",
+    "actor", "process", "metric", "glossary_term", "knowledge_gap",
+)
+GRAPH_EDGE_KINDS = ("part_of", "relates_to", "owned_by", "governed_by", "has_state", "transitions_to", "depends_on")
+AREAS = {
+    "language": "Languages", "framework": "Frameworks", "library": "Libraries", "tool": "Tooling & Infrastructure",
+    "infra": "Tooling & Infrastructure", "dependency": "Libraries", "skill": "Engineering Practices", "domain": "Domain Knowledge",
+}
+OTHER_AREA = "Engineering Practices"
+GENERIC_FOLDERS = (
+    "workspace", "workspaces", "projects", "project", "repos", "repositories", "code", "src", "dev", "work", "documents",
+    "desktop", "git", "github", "sites",
+)
 SCOPES = ("industry", "technical", "meta")
 GROUNDINGS = ("structural", "corroborated", "stated", "external", "model")
 LEVELS = ("novice", "advanced_beginner", "competent", "proficient", "expert")

@@ -70,6 +70,7 @@ _SQL_BLANK = re.compile(r"--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*'")
 _DDL = re.compile(r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unlogged\s+|materialized\s+|unique\s+)*(table|view|index|function|procedure|trigger|schema|type|sequence)\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?([\w.\"`\[\]]+)")
 _REF = re.compile(r"(?i)\breferences\s+([\w.\"`\[\]]+)")
 _ALTER = re.compile(r"(?i)^\s*alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?([\w.\"`\[\]]+)\s+add\s+(?:column\s+)?(?!constraint)(\w+)")
+_READS = re.compile(r"(?i)\b(?:from|join)\s+([\w.\"`\[\]]+)")
 _ON = re.compile(r"(?i)\bon\s+([\w.\"`\[\]]+)")
 _NOT_COLUMN = {"primary", "foreign", "unique", "check", "constraint", "exclude", "index", "key", "like"}
 
@@ -79,7 +80,7 @@ def _bare(name: str) -> str:
 
 
 def ddl_objects(source: str) -> list[tuple[str, str, str | None]]:
-    """(kind, name, of) of each definition: columns and indexes of their table, foreign keys of their target."""
+    """(kind, name, of) of each definition: columns and indexes of their table, foreign keys and what a view reads of their target."""
     out: list[tuple[str, str, str | None]] = []
     clean = _SQL_BLANK.sub(lambda m: " " * len(m.group()), source)
     for stmt in clean.split(";"):
@@ -91,6 +92,8 @@ def ddl_objects(source: str) -> list[tuple[str, str, str | None]]:
         kind, name = m[1].lower(), _bare(m[2]).lower()
         on = _ON.search(stmt, m.end()) if kind in ("index", "trigger") else None
         out.append((kind, name, _bare(on[1]).lower() if on else None))
+        if kind == "view":
+            out += [("reads", name, _bare(t).lower()) for t in _READS.findall(stmt, m.end())]
         if kind == "table" and "(" in stmt:
             body, depth, part, parts = stmt[stmt.index("(") + 1 :], 0, "", []
             for c in body:
@@ -138,6 +141,26 @@ def symbols(sources: DataFrame) -> DataFrame:
     return sources.select("path", "source").mapInArrow(run, "path string, language string, kind string, name string, line int")
 
 
+def ddl(sources: DataFrame) -> DataFrame:
+    """(path, kind, name, of) of every definition in the SQL files of ``sources(path, source)``; see ``ddl_objects``."""
+    names = ["path", "kind", "name", "of"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, *o) for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if s for o in ddl_objects(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows) if rows else [()] * 4)], names)
+
+    return sources.where(F.lower("path").rlike(r"\.(?:sql|ddl)$")).select("path", "source").mapInArrow(run, "path string, kind string, name string, of string")
+
+
+def ddl_entities(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tables(name, stub) and relations(src, dst) of SQL files: foreign keys and what views read; what is only referred to is a stub."""
+    d = ddl(sources)
+    keys = d.where("kind in ('foreign_key', 'reads')").select(F.col("name").alias("src"), F.col("of").alias("dst"))
+    made = d.where("kind in ('table', 'view')").select("name", F.lit(False).alias("stub"))
+    return made.unionByName(keys.select(F.col("dst").alias("name"), F.lit(True).alias("stub"))), keys
+
+
 def ddl_tables(sources: DataFrame) -> DataFrame:
     """(path, table_name) of CREATE TABLE statements, in the JVM: comments blanked, names without quotes."""
     clean = F.regexp_replace("source", r"--[^\n]*", "")

@@ -154,7 +154,7 @@ def test_gaps_and_entities(spark):
     fk = spark.createDataFrame([("accounts", "tier"), ("users", "accounts")], "src string, dst string")
     e, r = L.entities_from_code(t, fk)
     rules = spark.createDataFrame([("All accounts need a tier",)], "text string")
-    assert {(x.kind, x.entity) for x in L.gaps(e, r, rules).collect()} == {("external_ref", "tier"), ("ungoverned", "users")}
+    assert {(x.kind, x.entity) for x in L.gaps(spark, e, r, rules).collect()} == {("external_ref", "tier"), ("ungoverned", "users")}
 
 
 def test_ddl_and_symbols(spark):
