@@ -175,28 +175,23 @@ def chunks(spark: SparkSession, turns: DataFrame, lateness: str = "36500 days")
 
 
 def verdicts(parts: DataFrame) -> DataFrame:
-    """(session_id, valid) from the chunk summaries, merged in order of (by, chunk)."""
-    s = F.struct("by", "chunk", "lo", "hi", "n", "first", "last")
-    agg = parts.groupBy("session_id").agg(
-        F.sum("n").alias("n"), F.bool_or("broken").alias("broken"), F.bool_or("bad_role").alias("bad_role"),
-        F.sum("users").alias("users"), F.sum("assistants").alias("assistants"), F.bool_or("unanswered").alias("unanswered"),
-        F.min("by").alias("by_lo"), F.max("by").alias("by_hi"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.array_sort(F.collect_list(s)).alias("parts"),
-    )
-    # the ends of neighbouring chunks: a user turn that ends one must be answered where the next with a message begins
-    said = F.filter("parts", lambda p: p["first"].isNotNull())
-    seam = F.exists(
-        F.sequence(F.lit(1), F.size(said) - 1), lambda i: (F.element_at(said, i)["last"] == 1) & (F.element_at(said, i + 1)["first"] != 2)
+    """(session_id, valid) from the chunk summaries, merged in order of (by, chunk).
+
+    Each summary looks back to the last one before it that holds a message: a
+    user turn that ends one must be answered where the next begins.
+    """
+    w = Window.partitionBy("session_id").orderBy("by", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last("last", ignorenulls=True).over(w)
+    p = parts.withColumn("seam", F.coalesce((seen == 1) & (F.col("first") != 2), F.lit(False)))
+    place = F.when(F.col("last").isNotNull(), F.struct("by", "chunk"))
+    agg = p.groupBy("session_id").agg(
+        F.sum("n").alias("n"), (F.bool_or("broken") | F.bool_or("bad_role") | F.bool_or("unanswered") | F.bool_or("seam")).alias("bad"),
+        F.sum("users").alias("users"), F.sum("assistants").alias("assistants"), F.min("by").alias("by_lo"), F.max("by").alias("by_hi"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("last", place).alias("end"),
     )
-    open_end = F.element_at(said, -1)["last"] == 1
     mixed = (F.col("by_lo") == _ORDER_IDX) & (F.col("by_hi") != _ORDER_IDX)
     gaps = (F.col("by_lo") == _ORDER_IDX) & ((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1))
-    bad = (
-        F.col("broken") | F.col("bad_role") | (F.col("by_hi") == _ORDER_NONE) | mixed | gaps
-        | (F.col("users") == 0) | (F.col("assistants") == 0) | F.col("unanswered")
-        | F.when(F.size(said) > 1, seam).otherwise(False) | F.when(F.size(said) > 0, open_end).otherwise(False)
-    )
+    bad = F.col("bad") | (F.col("by_hi") == _ORDER_NONE) | mixed | gaps | (F.col("users") == 0) | (F.col("assistants") == 0) | (F.col("end") == 1)
     return agg.select("session_id", (~F.coalesce(bad, F.lit(True))).alias("valid"))
 
 

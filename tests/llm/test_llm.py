@@ -83,6 +83,36 @@ def test_conversations(spark):
     assert [r.position for r in big_rows] == list(range(len(big))) and all(r.turn_id == f"big-{r.position}" for r in big_rows)
 
 
+def test_late_rows_wait_and_lost_ones_are_left_out(spark, tmp_path):
+    hour = 3_600_000
+    row = lambda s, i, r, ts: (f"{s}-{i}", s, i, r, "x", 240 * hour + ts, None)
+    batches = [
+        [row("a", 0, "user", hour), row("a", 1, "assistant", hour + 1), row("b", 0, "user", 2 * hour)],
+        [row("a", 2, "user", hour + hour // 2), row("b", 1, "assistant", 2 * hour + 1)],  # late, but within the hour
+        [row("c", 0, "user", 10 * hour), row("c", 1, "assistant", 10 * hour + 1)],
+        [row("e", 0, "user", 11 * hour)],  # the watermark of one batch holds from the next one on
+        [row("e", 1, "assistant", 11 * hour + 1)],
+        [row("a", 3, "assistant", hour), row("e", 2, "user", 11 * hour + 2)],  # a's row comes too late
+        [row("d", 0, "user", 30 * hour)],
+        [row("d", 1, "assistant", 30 * hour + 1)],
+    ]
+    (tmp_path / "in").mkdir()
+    got, held = {}, []
+
+    def keep(df, k):
+        got.update({r.session_id: (k, r.n, r.users, r.last) for r in df.collect()})
+
+    stream = conversations.chunk_stream(spark.readStream.schema(conversations.LIGHT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "1 hour")
+    q = None
+    for k, b in enumerate(batches):
+        conversations.light_rows(spark.createDataFrame(b, TURN), 3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(set(got))
+    assert got["a"][1:] == (3, 2, 1) and got["b"][1:] == (2, 1, 2) and got["c"][1:] == (2, 1, 2)
+    assert {"a", "b"} <= held[5] and "d" not in got  # closed chunks leave the state as the watermark passes, open ones stay
+
+
 # ---- 3 ----
 
 VALID = {
