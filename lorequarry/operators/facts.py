@@ -1,7 +1,7 @@
 """Facts: anchors, upserts, duplicates, clusters, verification."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -128,40 +128,79 @@ def centroids(members: DataFrame, key: str) -> DataFrame:
     return m.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def online_clusters(facts: DataFrame, attach: float = 0.88, offer: float = 0.60, recheck: float = 0.85) -> DataFrame:
-    """(project_id, id, concept): facts of a project in order join the nearest concept or found one.
+#: What decides on a fact between ``attach`` and ``offer``: (kind, [(concept, cosine), …]) to ("attach", concept), ("merge", a, b) or ("create",).
+Judge = Callable[[str, list[tuple[str, float]]], tuple]
 
-    Each decision moves the centroid that the next fact meets, so a project is
-    one sequential group: at least ``attach`` joins; less than ``offer`` founds;
-    between, the offline judge joins at ``recheck``. Facts without a vector go to
-    a bucket of their kind. State of a group is its centroids, not its facts.
+
+def nearest_or_new(kind: str, offered: list[tuple[str, float]]) -> tuple:
+    """The offline judge: the nearest concept if it is near enough, else a new one."""
+    return ("attach", offered[0][0]) if offered[0][1] >= 0.85 else ("create",)
+
+
+def online_clusters(facts: DataFrame, attach: float = 0.88, offer: float = 0.60, recheck: float = 0.85, wave: int = 4, offers: int = 5, judge: Judge = nearest_or_new) -> DataFrame:
+    """(project_id, id, concept): facts of a project, in order, in waves, join a concept or found one.
+
+    The ``offers`` nearest concepts with a cosine of at least ``offer`` are read
+    at the beginning of a wave. A fact at ``attach`` or more joins the nearest, one
+    without an offer founds; the judge decides on the others, after those. What
+    the judge names must have been offered and still be there, else the fact
+    founds; and a fact that founds joins a concept that is by then at ``recheck``
+    or nearer. Each decision moves the centroid. Facts without a vector go to a
+    bucket of their kind. So a project is one sequence; other projects run beside.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["created_at", "id"])
-        names, sums, counts, out = [], [], [], []
-        for id_, kind, emb in zip(pdf["id"], pdf["kind"], pdf["embedding"]):
-            v = None if emb is None or not len(emb) else np.asarray(emb, dtype=np.float64)
-            n = 0.0 if v is None else float(np.linalg.norm(v))
-            if n == 0:
-                out.append(f"{kind} (uncategorized)")
-                continue
-            best, at = -1.0, -1
-            if sums:
-                same = [i for i, s in enumerate(sums) if len(s) == len(v)]
-                if same:
-                    m = np.stack([sums[i] for i in same])
-                    c = m @ v / (np.linalg.norm(m, axis=1) * n + 1e-300)
-                    k = int(c.argmax())
-                    best, at = float(c[k]), same[k]
-            if best >= attach or (best >= offer and best >= recheck):
-                sums[at] = sums[at] + v
-                counts[at] += 1
-            else:
-                at = len(sums)
-                names.append(id_), sums.append(v.copy()), counts.append(1)
-            out.append(names[at])
-        return pd.DataFrame({"project_id": pdf["project_id"], "id": pdf["id"], "concept": out})
+        sums: dict[str, np.ndarray] = {}
+        into: dict[str, str] = {}  # merged concepts
+        out: dict[str, str] = {}
+
+        def nearest(v: np.ndarray, least: float, most: int) -> list[tuple[str, float]]:
+            names = [c for c, s in sums.items() if len(s) == len(v)]
+            if not names:
+                return []
+            m = np.stack([sums[c] for c in names])
+            c = m @ v / (np.linalg.norm(m, axis=1) * np.linalg.norm(v) + 1e-300)
+            return [(names[i], float(c[i])) for i in np.argsort(-c, kind="stable")[:most] if c[i] >= least]
+
+        def place(id_: str, v: np.ndarray, concept: str | None) -> None:
+            if concept not in sums:
+                live = nearest(v, recheck, 1)
+                concept = live[0][0] if live else id_
+            sums[concept] = sums[concept] + v if concept in sums else v.copy()
+            out[id_] = concept
+
+        rows = list(zip(pdf["id"], pdf["kind"], pdf["embedding"]))
+        for at in range(0, len(rows), wave):
+            sure, open_ = [], []
+            for id_, kind, emb in rows[at : at + wave]:
+                v = None if emb is None or not len(emb) else np.asarray(emb, dtype=np.float64)
+                if v is None or not np.isfinite(v).all() or not v.any():
+                    out[id_] = f"{kind} (uncategorized)"
+                    continue
+                got = nearest(v, offer, offers)
+                if got and got[0][1] < attach:
+                    open_.append((id_, kind, v, got))
+                else:
+                    sure.append((id_, v, got[0][0] if got else None))
+            for id_, v, concept in sure:
+                place(id_, v, concept)
+            for id_, kind, v, got in open_:
+                told, offered = judge(kind, got), {c for c, _ in got}
+                concept = None
+                if told[0] == "attach" and told[1] in offered:
+                    concept = told[1]
+                elif told[0] == "merge" and {told[1], told[2]} <= offered & sums.keys() and told[1] != told[2]:
+                    sums[told[1]] = sums[told[1]] + sums.pop(told[2])
+                    into[told[2]] = concept = told[1]
+                place(id_, v, concept)
+
+        def now(c: str) -> str:
+            while c in into:
+                c = into[c]
+            return c
+
+        return pd.DataFrame({"project_id": pdf["project_id"], "id": pdf["id"], "concept": [now(out[i]) for i in pdf["id"]]})
 
     return facts.select("project_id", "id", "kind", "created_at", "embedding").groupBy("project_id").applyInPandas(run, "project_id string, id string, concept string")
 

@@ -99,6 +99,50 @@ def extract_rules(p: dict) -> dict:
     return {"facts": out[:8]}
 
 
+_KINDS = (
+    ("requirement", re.compile(r"\b(?:needs? to|has to|shall|is required to|should support|requirement)\b", re.I)),
+    ("intent", re.compile(r"\b(?:I want|I would like|let's|we plan|the goal is|going to)\b", re.I)),
+    ("solution", re.compile(r"\b(?:fixed by|solved by|the fix|workaround|resolved)\b", re.I)),
+    ("business_rule", re.compile(r"\b(?:must|never|always|only if|at most|at least)\b.*\b(?:customer|invoice|order|contract|account|ledger)\b", re.I)),
+    ("constraint", re.compile(r"\b(?:must not|cannot|limit(?:ed)? to|no more than)\b", re.I)),
+    ("problem", _BUG), ("decision", _DECIDE),
+)
+#: The kinds that each of the five extractors may give.
+EXTRACTED = {
+    "decision": ("decision", "constraint"), "business_logic": ("business_rule", "constraint"), "requirements": ("requirement",),
+    "intent": ("intent",), "problem_solution": ("problem", "solution"),
+}
+
+
+def _sentences(text: str | None) -> list[str]:
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text or "") if len(s.strip()) > 20]
+
+
+def kind_rules(kinds: tuple[str, ...]) -> Backend:
+    """A backend that gives the sentences of some kinds as facts."""
+
+    def rules(p: dict) -> dict:
+        out = []
+        for s in _sentences(p.get("text")):
+            kind = next((k for k, rx in _KINDS if k in kinds and rx.search(s)), None)
+            if kind:
+                out.append({"kind": kind, "title": s[:120], "confidence": 0.6, "anchors": re.findall(r"\b[A-Z][A-Z0-9]{1,9}-\d+\b|[\w\-]+/[\w\-/]+\.\w+|`\w+`", s)[:5]})
+        return {"facts": out[:8]}
+
+    return rules
+
+
+def incident_rules(p: dict) -> dict:
+    """Sentences that name a fault and its cause, with the next one that names a fix."""
+    out, ss = [], _sentences(p.get("text"))
+    for i, s in enumerate(ss):
+        m = re.search(r"(.{10,}?)\b(?:because of|because|caused by|due to|root cause (?:is|was))\b\s*(.{5,})", s, re.I)
+        if m and _BUG.search(s):
+            fix = next((x for x in ss[i + 1 : i + 6] if _KINDS[2][1].search(x)), None)
+            out.append({"problem": m[1].strip(" ,")[:200], "root_cause": m[2].strip(" .")[:200], "resolution": fix[:200] if fix else None, "evidence": s[:300]})
+    return {"incidents": out[:5]}
+
+
 def verify_rules(p: dict) -> dict:
     a, b = set(re.findall(r"\w+", (p.get("a") or "").lower())), set(re.findall(r"\w+", (p.get("b") or "").lower()))
     same = len(a & b) / max(1, len(a | b))
@@ -129,3 +173,10 @@ VERIFY = Agent("verifier", "1", ("verdict", "confidence"), verify_rules)
 LINK = Agent("linker", "1", ("relation", "confidence"), link_rules)
 SUMMARIZE = Agent("summarizer", "1", ("name", "summary"), summary_rules)
 LAYER = Agent("file_analyzer", "1", ("layer", "tags"), layer_rules)
+INCIDENT = Agent("incident", "1", ("incidents",), incident_rules)
+EXTRACTORS = {name: Agent(name, "1", ("facts",), kind_rules(kinds)) for name, kinds in EXTRACTED.items()}
+
+
+def store_runs(fresh: DataFrame, path: str) -> None:
+    """Add the replies of a run to the cache at ``path``; ``run_agent`` takes that table as its cache next time."""
+    fresh.write.mode("append").parquet(path)

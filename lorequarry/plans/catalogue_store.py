@@ -537,3 +537,31 @@ def inserted_if_absent(spark, d):
 @query(f"""WITH {FACTS} SELECT sha1(count(*) || '|' || coalesce(max(updated_at), 0)) AS fingerprint FROM facts""")
 def store_fingerprint(spark, d):
     return P.fingerprint(docs_as_facts(spark, d))
+
+
+@query()
+def call_resolution(spark, d):
+    return L.resolve_calls(*C.calls(C.symbols(load(spark, d, "source_files")))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def code_edges(spark, d):
+    return C.code_edges(C.symbols(load(spark, d, "source_files")))
+
+
+@query()
+def routed_facts(spark, d):
+    return P.update(spark, _turns(spark, d), load(spark, d, "sessions"), NOW)["routed"]
+
+
+@query()
+def incident_facts(spark, d):
+    return P.update(spark, _turns(spark, d), load(spark, d, "sessions"), NOW)["incidents"]
+
+
+@query("""WITH s AS (SELECT DISTINCT '/srv/new/' || agent AS path, agent AS name FROM sessions WHERE agent IS NOT NULL), p AS (SELECT DISTINCT id, name, path, registered_at, last_seen_at FROM projects)
+SELECT id, name, registered_at, last_seen_at FROM p UNION ALL SELECT substr(sha1(path), 1, 16), name, 1746000000000, 1746000000000 FROM s""")
+def registered_projects(spark, d):
+    p = load(spark, d, "projects").select("id", "name", "path", "registered_at", "last_seen_at").distinct()
+    seen = load(spark, d, "sessions").where("agent is not null").select(F.concat(F.lit("/srv/new/"), "agent").alias("path"), F.col("agent").alias("name")).distinct()
+    return P.register(p, seen, NOW).select("id", "name", "registered_at", "last_seen_at")

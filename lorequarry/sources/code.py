@@ -31,6 +31,36 @@ SYMBOLS = {
 }
 
 
+_C_LIKE = r"//[^\n]*|/\*[\s\S]*?\*/"
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`"
+#: Comments and strings of a language; in Rust a quote also begins a lifetime.
+_PARTS = {
+    k: re.compile(f"(?P<comment>{'#[^\n]*' if k == 'elixir' else _C_LIKE})|{_QUOTED}|{_CHAR}")
+    for k, _CHAR in {**dict.fromkeys(SYMBOLS, r"'(?:[^'\\\n]|\\.)*'"), "rust": r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'", "go": r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'"}.items()
+}
+_CALL = re.compile(r"(?<![\w$])([^\W\d][\w$]*)\s*\(")
+#: Words before a bracket that call nothing, and words after which a name is defined.
+_NO_CALL = frozenset("if for while switch catch return function func fn match with case sizeof typeof elif def defp do when using lock foreach new super this import require".split())
+_DEFINES = re.compile(r"(?:function\s*\*?|func(?:\s*\([^()]*\))?|fn|def|defp|class|new)\s+$")
+_blank = lambda text: re.sub(r"[^\n]", " ", text)
+
+
+def _line_symbols(source: str, language: str, patterns) -> list[tuple[str, str, int]]:
+    """Defining lines, imports and calls of a language without its own parser, outside comments; imports alone look into strings."""
+    parts = _PARTS[language]
+    told = parts.sub(lambda m: _blank(m[0]) if m["comment"] else m[0], source)
+    bare = parts.sub(lambda m: _blank(m[0]), source)
+    out, defined = [], set()
+    for rx, kind in patterns:
+        for m in rx.finditer(told if kind == "import" else bare):
+            out.append((m[1], kind, source.count("\n", 0, m.start(1)) + 1))
+            defined.add(m.start(1))
+    for m in _CALL.finditer(bare):
+        if m[1] not in _NO_CALL and m.start(1) not in defined and not _DEFINES.search(bare, max(0, m.start() - 40), m.start()):
+            out.append((m[1], "call", source.count("\n", 0, m.start(1)) + 1))
+    return out
+
+
 _PY_BLANK = re.compile(r"#[^\n]*|(\"\"\"|\'\'\')[\s\S]*?\1|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _PY_LINES = [(re.compile(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"), "function"), (re.compile(r"(?m)^[ \t]*class[ \t]+(\w+)"), "class"), (re.compile(r"(?m)^[ \t]*from[ \t]+\.*([\w.]*)[ \t]+import\b"), "import")]
 _PY_IMPORT = re.compile(r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)")
@@ -117,7 +147,8 @@ def symbols(sources: DataFrame) -> DataFrame:
     """(path, language, kind, name, line) of ``sources(path, source)``.
 
     Python by its syntax tree, SQL by its definitions, other languages by their
-    defining lines, and so is Python that does not parse. Calls are read of Python only.
+    defining lines and calls outside comments and strings, and so is Python that
+    does not parse.
     """
     rx = {k: [(re.compile(p), kind) for p, kind in v] for k, v in SYMBOLS.items()}
 
@@ -133,7 +164,7 @@ def symbols(sources: DataFrame) -> DataFrame:
                 elif lang == "sql":
                     got = [(n if of is None else f"{of}.{n}", k, 0) for k, n, of in ddl_objects(src)]
                 else:
-                    got = [(m[1], kind, src.count("\n", 0, m.start(1)) + 1) for p, kind in rx.get(lang, ()) for m in p.finditer(src)]
+                    got = _line_symbols(src, lang, rx[lang])
                 rows += [(path, lang, k, n, l) for n, k, l in got]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.string()] * 4 + [pa.int32()])], ["path", "language", "kind", "name", "line"])
@@ -141,6 +172,20 @@ def symbols(sources: DataFrame) -> DataFrame:
     return sources.select("path", "source").mapInArrow(run, "path string, language string, kind string, name string, line int")
 
 
+def code_edges(found: DataFrame) -> DataFrame:
+    """(src, dst, kind) of symbols: a file contains what it defines and imports what it names."""
+    s = found.where("kind <> 'call'")
+    edge = F.when(F.col("kind") == "import", F.struct(F.col("path").alias("src"), F.col("name").alias("dst"), F.lit("imports").alias("kind")))
+    own = F.struct(F.col("path").alias("src"), F.concat_ws("#", "path", "name").alias("dst"), F.lit("contains").alias("kind"))
+    return s.select(F.coalesce(edge, own).alias("e")).select("e.*").distinct()
+
+
+def calls(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """calls(caller, callee_name) by file and nodes(id, name, kind) of symbols, as ``resolve_calls`` takes them."""
+    nodes = found.where(F.col("kind").isin("function", "method")).select(F.concat_ws("#", "path", "name").alias("id"), "name", "kind").distinct()
+    return found.where("kind = 'call'").select(F.col("path").alias("caller"), F.col("name").alias("callee_name")).distinct(), nodes
+
+
 def ddl(sources: DataFrame) -> DataFrame:
     """(path, kind, name, of) of every definition in the SQL files of ``sources(path, source)``; see ``ddl_objects``."""
     names = ["path", "kind", "name", "of"]

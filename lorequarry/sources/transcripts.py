@@ -96,6 +96,24 @@ class _Span(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+#: Bytes of a file that one task reads, and that are looked at at a time for the last line break.
+SPAN_BYTES, BLOCK_BYTES = 64 << 20, 64 << 10
+
+
+def _last_line_end(path: str) -> int:
+    """The offset behind the last line break; a line still being written waits. Only the end of the file is read."""
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END)
+        while at:
+            start = max(0, at - BLOCK_BYTES)
+            f.seek(start)
+            k = f.read(at - start).rfind(b"\n")
+            if k >= 0:
+                return start + k + 1
+            at = start
+    return 0
+
+
 class _TailReader(DataSourceStreamReader):
     """Offsets are bytes per file, so a file that grew is read from where it ended."""
 
@@ -111,19 +129,23 @@ class _TailReader(DataSourceStreamReader):
             for n in names:
                 if n.endswith(".jsonl"):
                     p = os.path.join(base, n)
-                    with open(p, "rb") as f:
-                        data = f.read()
-                    out[p] = data.rfind(b"\n") + 1  # a line still being written waits
+                    out[p] = _last_line_end(p)
         return out
 
     def partitions(self, start: dict, end: dict) -> list[_Span]:
-        return [_Span(p, start.get(p, 0), e) for p, e in sorted(end.items()) if e > start.get(p, 0)]
+        """Spans of at most SPAN_BYTES: a line belongs to the span in which it begins."""
+        return [_Span(p, a, min(a + SPAN_BYTES, e)) for p, e in sorted(end.items()) for a in range(start.get(p, 0), e, SPAN_BYTES)]
 
     def read(self, s: _Span) -> Iterator[tuple]:
         with open(s.path, "rb") as f:
-            f.seek(s.start)
             at = s.start
-            for line in f.read(s.end - s.start).splitlines(keepends=True):
+            if at:
+                f.seek(at - 1)
+                at += len(f.readline()) - 1  # what is left of a line that began before
+            while at < s.end:
+                line = f.readline()
+                if not line.endswith(b"\n"):
+                    return
                 at += len(line)
                 yield (s.path, at, line.decode("utf-8", "replace").rstrip("\n"))
 

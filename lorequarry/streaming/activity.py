@@ -5,35 +5,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.operators import windows as W
-from lorequarry.session import exists, remove, shared_path
+from lorequarry.session import remove, shared_path
+
+
+#: Turns are stored by so many ranges of sessions; a batch reads those of its own sessions.
+RANGES = 64
 
 
 def debounced_segments(turns: DataFrame, out: str, checkpoint: str, seconds: int | None = None):
-    """Segment the sessions that each micro-batch touches; windows are keyed by id, so a rerun adds none twice.
+    """Segment the sessions that each micro-batch touches, whole; see ``current_windows`` for what holds.
 
-    ``turns`` is a stream; a batch is joined with what is already stored of its
-    sessions, in place of going some turns back. ``seconds`` None drains and stops.
+    ``turns`` is a stream. A batch's turns and windows go to a folder of its own,
+    so a batch that is tried again replaces what it wrote before. Of the turns
+    before it only the ranges are read in which its sessions lie. ``seconds``
+    None drains and stops.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        store, wins = f"{out}/turns", f"{out}/windows"
-        old = spark.read.schema(df.schema).parquet(store) if exists(spark, store) else df.limit(0)
-        touched = df.select("session_id").distinct()
-        every = old.join(touched, "session_id", "left_semi").unionByName(df).distinct()
-        new = W.segment(every)
-        if exists(spark, wins):
-            new = new.join(spark.read.schema(new.schema).parquet(wins).select("window_id"), "window_id", "left_anti")
-        tmp = shared_path(spark, "segments")
-        new.write.parquet(tmp)
-        spark.read.schema(new.schema).parquet(tmp).write.mode("append").parquet(wins)
-        df.write.mode("append").parquet(store)
-        remove(spark, tmp)
+    def batch(df: DataFrame, k: int) -> None:
+        spark, store = df.sparkSession, f"{out}/turns"
+        df = df.withColumn("range", F.pmod(F.xxhash64("session_id"), F.lit(RANGES)).cast("int")).withColumn("batch", F.lit(k).cast("long"))
+        df.drop("batch").write.mode("overwrite").partitionBy("range").parquet(f"{store}/batch={k}")
+        ranges = [r[0] for r in df.select("range").distinct().collect()]  # at most RANGES
+        old = spark.read.schema(df.schema).parquet(store).where(F.col("range").isin(ranges) & (F.col("batch") <= k))
+        every = old.join(df.select("session_id").distinct(), "session_id", "left_semi").drop("range", "batch").distinct()
+        W.segment(every).write.mode("overwrite").parquet(f"{out}/windows/batch={k}")
 
     w = turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
 
+def current_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The windows that hold: of each session those of the last batch that touched it, so an exchange that grew is there once."""
+    w = spark.read.parquet(f"{out}/windows")
+    last = w.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    return w.join(last, ["session_id", "batch"], "left_semi").drop("batch")
+
+
 def session_activity(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """(user_id, started, ended, events): activity sessions, closed by a gap; rows without a time or user take no part."""
     e = events.where("ts is not null and user_id is not null")

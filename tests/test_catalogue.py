@@ -20,7 +20,7 @@ def flat(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(c.SQL))
+@pytest.mark.parametrize("name", sorted(c.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(D):

@@ -187,3 +187,91 @@ def test_datasets(spark):
     facts = spark.createDataFrame([("1", "knowledge_gap", " A ", "p"), ("2", "knowledge_gap", "a", "p"), ("3", "entity", "b", "p")], "id string, kind string, title string, project_id string")
     assert DS.open_gaps(facts).count() == 1 and FA.clusterable(facts).count() == 1
     assert [r.line for r in DS.export_json(facts.limit(1)).collect()] == ['{"id":"1","kind":"knowledge_gap","title":" A ","project_id":"p"}']
+
+
+def test_online_waves_and_merges(spark):
+    f = spark.createDataFrame([("p", "a", "k", 1, [1.0, 0.0]), ("p", "b", "k", 2, [0.7, 0.7]), ("p", "c", "k", 3, [0.9, 0.4]), ("p", "n", "k", 4, [float("nan"), 1.0])], "project_id string, id string, kind string, created_at int, embedding array<double>")
+    run = lambda **kw: {r.id: r.concept for r in FA.online_clusters(f, **kw).collect()}
+    assert run(wave=1) == {"a": "a", "b": "b", "c": "b", "n": "k (uncategorized)"}
+    assert run(wave=1, attach=0.99, judge=lambda k, got: ("attach", "elsewhere")) == run(wave=1, attach=0.99, judge=lambda k, got: ("create",))
+    merged = run(wave=1, attach=0.99, judge=lambda k, got: ("merge", got[0][0], got[1][0]) if len(got) > 1 else ("create",))
+    assert merged["a"] == merged["b"] == merged["c"]
+
+
+def test_symbols_outside_comments_and_strings(spark):
+    from lorequarry.operators import links as LK
+    from lorequarry.sources import code as C
+
+    src = [
+        ("a.ts", "// function gone() {}\nimport { x } from './m';\nfunction f(a) { g(\"h(1)\"); if (a) k.go(a) }\nconst s = `class No {}`;\n"),
+        ("b.go", "package a\nimport \"fmt\"\n/* func no() {} */\nfunc G(x int) { fmt.Println('(') ; f(x) }\n"),
+        ("c.rs", "use a::b;\nfn h<'a>(x: &'a str) { let c = '\"'; g(x) }\n"), ("d.java", "class D {\n  public int m(int a) { return n(a); } }"), ("e.ts", None),
+    ]
+    s = C.symbols(spark.createDataFrame(src, "path string, source string"))
+    got = {(r.path, r.kind, r.name) for r in s.collect()}
+    assert {("a.ts", "import", "./m"), ("a.ts", "function", "f"), ("a.ts", "call", "g"), ("a.ts", "call", "go"), ("b.go", "function", "G"), ("b.go", "call", "f"), ("c.rs", "function", "h"), ("c.rs", "call", "g"), ("d.java", "method", "m"), ("d.java", "call", "n"), ("b.go", "import", "fmt")} <= got
+    assert not {n for _, _, n in got} & {"gone", "No", "no"} and ("a.ts", "call", "h") not in got and ("b.go", "call", "G") not in got and ("d.java", "call", "m") not in got
+    states = {(r.caller, r.callee_name): (r.state, r.target) for r in LK.resolve_calls(*C.calls(s)).collect()}
+    assert states["b.go", "f"] == ("resolved", "a.ts#f") and states["a.ts", "g"][0] == "open"
+    assert {(r.src, r.kind) for r in C.code_edges(s).collect()} >= {("a.ts", "imports"), ("a.ts", "contains")}
+
+
+def test_tail_spans(spark, tmp_path, monkeypatch):
+    from lorequarry.sources import transcripts as TR
+
+    monkeypatch.setattr(TR, "SPAN_BYTES", 7)
+    monkeypatch.setattr(TR, "BLOCK_BYTES", 3)
+    f = tmp_path / "a.jsonl"
+    lines = ["x" * n for n in (0, 3, 6, 7, 20, 1)]
+    f.write_text("\n".join(lines) + "\nunfinished")
+    r = TR._TailReader(str(tmp_path))
+    end = r.latestOffset()
+    assert end == {str(f): sum(len(x) + 1 for x in lines)}
+    assert [row[2] for p in r.partitions({}, end) for row in r.read(p)] == lines
+    assert [row[2] for p in r.partitions({str(f): 5}, end) for row in r.read(p)] == lines[2:]
+    (tmp_path / "b.jsonl").write_text("no break")
+    assert r.latestOffset()[str(tmp_path / "b.jsonl")] == 0
+
+
+def test_segments_as_turns_come(spark, tmp_path):
+    from lorequarry.streaming import activity as ST
+
+    (tmp_path / "in").mkdir()
+    put = lambda rows: spark.createDataFrame(rows, TURN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: ST.debounced_segments(spark.readStream.schema(TURN).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    first = [("1", "s", 0, "user", "q", 1), ("2", "s", 1, "assistant", "a", 2), ("3", "t", 0, "user", "q", 1), ("4", "t", 1, "tool", "a", 2)]
+    more = [("5", "s", 2, "tool", "b", 3)]
+    put(first), run(), put(more), run()
+    got = {(r.session_id, r.start_idx, r.end_idx) for r in ST.current_windows(spark, f"{tmp_path}/out").collect()}
+    assert got == {("s", 0, 2), ("t", 0, 1)}
+
+
+def test_pipelines(spark):
+    from lorequarry.plans import pipelines as P
+
+    text = "The export fails because of a broken lock in src/a.ts. The fix is resolved in OPS-12 by a new lock."
+    turns = spark.createDataFrame([("1", "s", 0, "user", text + " We decided to keep it.", 1), ("2", "s", 1, "assistant", "It needs to support `retry` in src/b.ts at once.", 2), ("3", "d", 0, "user", "# Runbook rollback", 1), ("4", "d", 1, "assistant", "steps", 2)], TURN)
+    sessions = spark.createDataFrame([("s", "cursor"), ("d", "docs")], "id string, agent string")
+    got = P.update(spark, turns, sessions, 10)
+    assert {r.kind for r in got["incidents"].collect()} == {"incident", "root_cause", "solution"} and got["incident_edges"].count() == 2
+    assert "decision" in {r.extractor for r in got["routed"].collect()} and got["sources"].collect()[0].doc_kind == "runbook"
+    assert not got["health"].collect()[0].unhealthy
+    files = spark.createDataFrame([("a.py", "1"), ("b.py", "2")], "path string, content_hash string")
+    src = spark.createDataFrame([("a.py", "def f(): g()"), ("b.py", "def g(): pass")], "path string, source string")
+    old, _ = P.sync(spark.createDataFrame([("a.py", "python", "function", "old", 1), ("gone.py", "python", "function", "x", 1)], "path string, language string, kind string, name string, line int"), files.limit(0), files, src)
+    assert {(r.path, r.name) for r in old.where("kind = 'function'").collect()} == {("a.py", "f"), ("b.py", "g")}
+    same, states = P.sync(old, files, files, src)
+    assert same.count() == old.count() and states.where("state = 'resolved'").count() == 1
+    facts = spark.createDataFrame([("1", "decision", "use locks always here", "", 0.9, "c", 1, 1), ("2", "decision", "use locks never here", "", 0.9, "c", 2, 2), ("3", "x", "weak", "", 0.1, None, 3, 3)], "id string, kind string, title string, summary string, confidence double, cluster_id string, created_at long, updated_at long")
+    kept, edges = P.verify(facts, spark.createDataFrame([], "src string, dst string, kind string"), 10)
+    assert kept.count() == 2 and {r.kind for r in edges.collect()} <= {"contradicts", "supersedes"}
+    con = spark.createDataFrame([("c", 2, ""), ("e", 2, "known")], "id string, member_count int, summary string")
+    assert [r.id for r in P.summarize(facts, con, 10).collect()] == ["c"]
+    e = P.enrich(spark, spark.createDataFrame([("a.sql", "CREATE TABLE a (id INT REFERENCES b(id));")], "path string, source string"), spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([("1", "A")], "id string, name string"))
+    assert e["gaps"].count() == 1 and e["matches"].count() == 1
+    mark = P.fingerprint(facts).collect()[0][0]
+    assert P.enrich(spark, src, facts.select("title"), facts, mark, facts) is None
+    assert P.analyse(files.withColumn("path", F.concat(F.lit("src/"), "path")), files.limit(0), "deep", 10).count() == 2
+    reg = P.register(spark.createDataFrame([], "id string, name string, path string, registered_at long, last_seen_at long"), spark.createDataFrame([("/p", "p")], "path string, name string"), 5)
+    again = P.register(reg, spark.createDataFrame([("/p", "p")], "path string, name string"), 9).collect()[0]
+    assert (again.registered_at, again.last_seen_at) == (5, 9)
