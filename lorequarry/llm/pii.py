@@ -86,6 +86,7 @@ ADDRESS_ES = re.compile(
 #: What a text needs to hold an item of a kind at all: cheap tests before the patterns.
 _AT_SIGNS = ("@", "%40", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", "&#64;", "&commat;", "＠", "﹫")
 _LONG_NUMBER = re.compile(r"\d(?:[ .\-/()]{0,2}[A-Za-z]?\d){5}")
+_ID_HINT = re.compile(rf"(?<!\w){_ID_LABEL}")
 _HOUSE = re.compile(r"\d[A-Za-z]?,? [^\W\d_a-zß-öø-ÿ]")
 _DE_HINT = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "ring ")
 _ES_HINT = ("calle ", "c/ ", "avda", "avenida ", "plaza ", "paseo ", "via ", "viale ", "piazza ", "rua ")
@@ -97,8 +98,10 @@ def _patterns(text: str) -> Iterator[tuple[str, re.Pattern]]:
     low = text.lower()
     if any(x in low for x in _AT_SIGNS):
         yield "email", EMAIL
-    if _LONG_NUMBER.search(text):
+    long = _LONG_NUMBER.search(text)
+    if long or _ID_HINT.search(low):  # behind a label a number may be short or mixed with letters
         yield "id_number", ID_NUMBER
+    if long:
         yield "phone", PHONE
     if _HOUSE.search(text):
         yield "address", ADDRESS_EN

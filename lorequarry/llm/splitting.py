@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm.mixing import clean_source, settings
-from lorequarry.llm.tokens import Automaton, automaton, split
+from lorequarry.llm.tokens import Automaton, compiled, shipped, split
 
 LEVELS = ("paragraph", "line", "sentence", "word", "token")
 #: What a cut at a boundary of each level costs, and the weight of the squared imbalance.
@@ -234,9 +234,10 @@ def split_documents(docs: DataFrame, limits: DataFrame, path: str | None = None)
             raise ValueError(f"limit of {s}: the overlap must be at least 8 tokens smaller than max_tokens")
     names = ["doc_id", "piece", "start", "stop", "n_tokens", "boundary", "text"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    model = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = compiled(*model.value)
 
         def out(cols):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)

@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files lie; never copied into this repository.
@@ -66,8 +67,9 @@ class Automaton:
 
     START = -1
 
-    def __init__(self, path: str):
-        model = json.loads(open(path, encoding="utf-8").read())["model"]
+    def __init__(self, text: str):
+        """The automaton of a vocabulary file's text."""
+        model = json.loads(text)["model"]
         to_byte, vocab = byte_letters(), model["vocab"]
         self.labels: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items() if all(c in to_byte for c in t)}
         self.birth: dict[int, int] = {i: -1 for i, s in self.labels.items() if len(s) == 1}
@@ -161,12 +163,26 @@ def split(text: str) -> list[str]:
 _loaded: dict[str, Automaton] = {}
 
 
+def _read(path: str | None) -> tuple[str, str]:
+    text = open(path or os.path.join(TOKENIZERS, VOCABULARY), encoding="utf-8").read()
+    return xxhash.xxh3_128_hexdigest(text), text
+
+
+def compiled(key: str, text: str) -> Automaton:
+    """The automaton of a vocabulary's text, compiled once a worker."""
+    if key not in _loaded:
+        _loaded[key] = Automaton(text)
+    return _loaded[key]
+
+
 def automaton(path: str | None = None) -> Automaton:
-    """The automaton of a vocabulary file, compiled once a worker."""
-    path = path or os.path.join(TOKENIZERS, VOCABULARY)
-    if path not in _loaded:
-        _loaded[path] = Automaton(path)
-    return _loaded[path]
+    """The automaton of a vocabulary file of this machine."""
+    return compiled(*_read(path))
+
+
+def shipped(spark: SparkSession, path: str | None = None):
+    """The vocabulary file as a broadcast (a few MB): only the driver needs the file."""
+    return spark.sparkContext.broadcast(_read(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -176,8 +192,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     on the length of a text; repeated rows give repeated results.
     """
 
+    model = shipped(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = compiled(*model.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -192,8 +210,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of ``encoded(doc_id, ids)``, by emitting the arcs' labels."""
 
+    model = shipped(encoded.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = compiled(*model.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.decode(i or ()) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -204,8 +224,10 @@ def token_counts(docs: DataFrame, columns: list[str], path: str | None = None) -
     """``columns`` of the documents and n_tokens, the length of the encoding."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
+    model = shipped(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = compiled(*model.value)
         for b in batches:
             n = [sum(map(len, map(a.packed, split(t)))) >> 2 if t else 0 for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], [*columns, "n_tokens"])

@@ -25,7 +25,7 @@ PEOPLE = "person_id int, given_name string, family_name string, handle string"
     [
         ("mail a.b+c@site.example now", {"email"}), ("see https://x.example/?to=ann%40site.example&r=1", {"email"}), ("ann (at) site [dot] example", {"email"}),
         ("git@forge.example:team/x.git and pkg@2.10.1", set()), ("call +44 20 7946 0123", {"phone"}), ("(212) 555-0100 or 020 7946 0123", {"phone"}), ("run 7312559865 at 10.14.122-rc2", set()),
-        ("SSN 912-34-5678", {"id_number"}), ("ISBN-like 978-0-00-345000-0 and build 2025-03-756", set()), ("Steuer-ID: 02 788 036 025;", {"id_number"}), ("passport no. X9Z999999", {"id_number"}),
+        ("SSN 912-34-5678", {"id_number"}), ("ISBN-like 978-0-00-345000-0 and build 2025-03-756", set()), ("Steuer-ID: 02 788 036 025;", {"id_number"}), ("passport no. AB12345", {"id_number"}), ("my passport C4KJ7P2R1 is lost", {"id_number"}), ("the passport was renewed", set()), ("passport no. X9Z999999", {"id_number"}),
         ("at 12 Baker Street, Town", {"address"}), ("12 bis, rue du Lac, 99001 Ville", {"address"}), ("Hauptstr. 7b, 09123 Ort", {"address"}), ("See section 7 Road map. Copy 776 files to Drive E.", set()), ("", set()),
     ],
 )
@@ -387,6 +387,17 @@ def test_encoding_agrees_with_the_library():
         assert a.encode(x).tolist() == e.ids and a.decode(e.ids) == x
 
 
+@needs_tokens
+def test_the_vocabulary_goes_to_the_workers(spark, tmp_path):
+    import shutil
+
+    path = tmp_path / "vocabulary.json"
+    shutil.copy(os.path.join(tokens.TOKENIZERS, tokens.VOCABULARY), path)
+    out = tokens.encode(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), str(path))
+    path.unlink()  # read by the driver when the query was made
+    assert out.collect()[0].ids == [31373, 995]
+
+
 @needs_tokens
 def test_encode_frame(spark):
     df = spark.createDataFrame([(1, "hello world", 1), (2, "", 1), (3, None, 1), (1, "hello world", 1)], "doc_id long, text string, ids int")
