@@ -554,11 +554,6 @@ def routed_facts(spark, d):
     return P.update(spark, _turns(spark, d), load(spark, d, "sessions"), NOW)["routed"]
 
 
-@query()
-def incident_facts(spark, d):
-    return P.update(spark, _turns(spark, d), load(spark, d, "sessions"), NOW)["incidents"]
-
-
 @query("""WITH s AS (SELECT DISTINCT '/srv/new/' || agent AS path, agent AS name FROM sessions WHERE agent IS NOT NULL), p AS (SELECT DISTINCT id, name, path, registered_at, last_seen_at FROM projects)
 SELECT id, name, registered_at, last_seen_at FROM p UNION ALL SELECT substr(sha1(path), 1, 16), name, 1746000000000, 1746000000000 FROM s""")
 def registered_projects(spark, d):

@@ -275,3 +275,15 @@ def test_pipelines(spark):
     reg = P.register(spark.createDataFrame([], "id string, name string, path string, registered_at long, last_seen_at long"), spark.createDataFrame([("/p", "p")], "path string, name string"), 5)
     again = P.register(reg, spark.createDataFrame([("/p", "p")], "path string, name string"), 9).collect()[0]
     assert (again.registered_at, again.last_seen_at) == (5, 9)
+
+
+def test_config():
+    from lorequarry.plans import config as K
+
+    s = K.settings({"cluster": {"wave": 1, "attach": None}})
+    assert s["cluster"]["wave"] == 1 and s["cluster"]["attach"] == 0.88 and K.DEFAULTS["cluster"]["wave"] == 4
+    assert K.fingerprint({"a": 1, "b": 2}) == K.fingerprint({"b": 2, "a": 1}) != K.fingerprint({"a": 2, "b": 1})
+    assert K.model_ref("local:name:7b") == ("local", "name:7b") and K.profile(" Deep ") == "deep" and K.profile(None) == "standard"
+    for bad in (lambda: K.settings({"cluster": {"waves": 1}}), lambda: K.settings({"x": {}}), lambda: K.model_ref("none"), lambda: K.profile("x")):
+        with pytest.raises(ValueError):
+            bad()
