@@ -128,6 +128,73 @@ def centroids(members: DataFrame, key: str) -> DataFrame:
     return m.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+class _Concepts:
+    """The vector sums of a project's concepts, in order of founding, a matrix for each vector length.
+
+    All concepts are screened in single precision, for a wave of vectors at
+    once; those that its rounding cannot rule out are compared exactly.
+    """
+
+    def __init__(self):
+        self.at: dict[str, tuple[int, int]] = {}  # the length and row of a concept
+        self.names: dict[int, list[str | None]] = {}  # by rows; None: merged into another
+        self.sums: dict[int, np.ndarray] = {}
+        self.unit: dict[int, np.ndarray] = {}
+        self.moved: dict[int, set[int]] = {}  # rows that are new or other since the last screening
+
+    def add(self, concept: str, v: np.ndarray) -> None:
+        """Add a vector to a concept, which is founded if it is not there."""
+        d = len(v)
+        if concept not in self.at:
+            names = self.names.setdefault(d, [])
+            if len(names) == len(self.sums.get(d, ())):  # full: twice the room
+                for of, kind in ((self.sums, np.float64), (self.unit, np.float32)):
+                    room = np.zeros((max(16, 2 * len(names)), d), kind)
+                    room[: len(names)] = of.get(d, room[:0])
+                    of[d] = room
+            self.at[concept] = d, len(names)
+            names.append(concept)
+        d, k = self.at[concept]
+        self._set(d, k, self.sums[d][k] + v)
+
+    def merge(self, into: str, gone: str) -> None:
+        d, k = self.at.pop(gone)
+        self.add(into, self.sums[d][k])
+        self.names[d][k] = None
+        self._set(d, k, np.zeros(d))
+
+    def _set(self, d: int, k: int, s: np.ndarray) -> None:
+        n = np.linalg.norm(s)
+        self.sums[d][k], self.unit[d][k] = s, s / n if 0 < n < np.inf else 0
+        self.moved.setdefault(d, set()).add(k)
+
+    def screen(self, vs: list[np.ndarray], least: float) -> list[np.ndarray]:
+        """For each vector the rows of its length that can have a cosine of at least ``least``."""
+        self.moved.clear()
+        out = [np.empty(0, np.int64)] * len(vs)
+        for d in {len(v) for v in vs} & self.names.keys():
+            mine = [i for i, v in enumerate(vs) if len(v) == d]
+            q = np.stack([vs[i] / max(np.abs(vs[i]).max(), 1e-300) for i in mine])
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            can = self.unit[d][: len(self.names[d])] @ q.T.astype(np.float32) >= least - (d + 8) * 2.0**-23
+            for j, i in enumerate(mine):
+                out[i] = np.flatnonzero(can[:, j])
+        return out
+
+    def nearest(self, v: np.ndarray, rows: np.ndarray, least: float, most: int) -> list[tuple[str, float]]:
+        """The nearest concepts, exactly, of the screened rows and those that moved since."""
+        d = len(v)
+        if self.moved.get(d):
+            rows = np.union1d(rows, list(self.moved[d]))
+        if not len(rows):
+            return []
+        m = self.sums[d][rows]
+        c = m @ v / (np.linalg.norm(m, axis=1) * np.linalg.norm(v) + 1e-300)
+        names = self.names[d]
+        near = [(names[rows[i]], float(c[i])) for i in np.flatnonzero(c >= least) if names[rows[i]] is not None]
+        return sorted(near, key=lambda x: -x[1])[:most]
+
+
 #: What decides on a fact between ``attach`` and ``offer``: (kind, [(concept, cosine), …]) to ("attach", concept), ("merge", a, b) or ("create",).
 Judge = Callable[[str, list[tuple[str, float]]], tuple]
 
@@ -151,49 +218,44 @@ def online_clusters(facts: DataFrame, attach: float = 0.88, offer: float = 0.60,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["created_at", "id"])
-        sums: dict[str, np.ndarray] = {}
+        concepts = _Concepts()
         into: dict[str, str] = {}  # merged concepts
         out: dict[str, str] = {}
 
-        def nearest(v: np.ndarray, least: float, most: int) -> list[tuple[str, float]]:
-            names = [c for c, s in sums.items() if len(s) == len(v)]
-            if not names:
-                return []
-            m = np.stack([sums[c] for c in names])
-            c = m @ v / (np.linalg.norm(m, axis=1) * np.linalg.norm(v) + 1e-300)
-            return [(names[i], float(c[i])) for i in np.argsort(-c, kind="stable")[:most] if c[i] >= least]
-
-        def place(id_: str, v: np.ndarray, concept: str | None) -> None:
-            if concept not in sums:
-                live = nearest(v, recheck, 1)
+        def place(id_: str, v: np.ndarray, rows: np.ndarray, concept: str | None) -> None:
+            if concept not in concepts.at:
+                live = concepts.nearest(v, rows, recheck, 1)
                 concept = live[0][0] if live else id_
-            sums[concept] = sums[concept] + v if concept in sums else v.copy()
+            concepts.add(concept, v)
             out[id_] = concept
 
-        rows = list(zip(pdf["id"], pdf["kind"], pdf["embedding"]))
-        for at in range(0, len(rows), wave):
-            sure, open_ = [], []
-            for id_, kind, emb in rows[at : at + wave]:
+        facts_ = list(zip(pdf["id"], pdf["kind"], pdf["embedding"]))
+        for at in range(0, len(facts_), wave):
+            usable = []
+            for id_, kind, emb in facts_[at : at + wave]:
                 v = None if emb is None or not len(emb) else np.asarray(emb, dtype=np.float64)
                 if v is None or not np.isfinite(v).all() or not v.any():
                     out[id_] = f"{kind} (uncategorized)"
-                    continue
-                got = nearest(v, offer, offers)
+                else:
+                    usable.append((id_, kind, v))
+            sure, open_ = [], []
+            for (id_, kind, v), rows in zip(usable, concepts.screen([v for _, _, v in usable], min(offer, recheck))):
+                got = concepts.nearest(v, rows, offer, offers)
                 if got and got[0][1] < attach:
-                    open_.append((id_, kind, v, got))
+                    open_.append((id_, kind, v, rows, got))
                 else:
-                    sure.append((id_, v, got[0][0] if got else None))
-            for id_, v, concept in sure:
-                place(id_, v, concept)
-            for id_, kind, v, got in open_:
+                    sure.append((id_, v, rows, got[0][0] if got else None))
+            for id_, v, rows, concept in sure:
+                place(id_, v, rows, concept)
+            for id_, kind, v, rows, got in open_:
                 told, offered = judge(kind, got), {c for c, _ in got}
                 concept = None
                 if told[0] == "attach" and told[1] in offered:
                     concept = told[1]
-                elif told[0] == "merge" and {told[1], told[2]} <= offered & sums.keys() and told[1] != told[2]:
-                    sums[told[1]] = sums[told[1]] + sums.pop(told[2])
+                elif told[0] == "merge" and {told[1], told[2]} <= offered & concepts.at.keys() and told[1] != told[2]:
+                    concepts.merge(told[1], told[2])
                     into[told[2]] = concept = told[1]
-                place(id_, v, concept)
+                place(id_, v, rows, concept)
 
         def now(c: str) -> str:
             while c in into:
