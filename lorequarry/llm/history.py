@@ -15,6 +15,13 @@ A query first meets the one oldest vector of each of its cells, and leaves if
 the one it meets most often is near; only the others go on to all members. So a
 family of near copies, of one batch or of many, is not compared pair by pair.
 
+Each row of a cell has a sketch of its vector: the parities of its coordinates
+in 256 classes, or 128 for small vectors. Two sketches differ in no more bits
+than the vectors differ in coordinates, so a pair that meets is left where it
+meets if its sketches differ too much: of the pairs of a cell, which grow with
+its square, next to none is shuffled. The cells are gone through in rounds of
+some ranges each, so what is shuffled of them at once is a part.
+
 The folder holds a manifest (settings), the order, and one entry an ``accept``:
 its vectors, its cells, its result and, written last, a mark that it is complete.
 An index is opened with the settings and the order it was made with; an entry
@@ -38,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.session import Stored, exists, remove, shared_path
+from lorequarry.session import Stored, exists, input_bytes, remove, shared_path
 
 WORD = re.compile(r"[^\W_]+")
 #: The order of coordinates is by counts in this many buckets, so its size does not grow with the data.
@@ -52,6 +59,13 @@ RANGES = 32
 CELL_ROWS = 4_096
 #: Rows of cells that one task should hold.
 TASK_CELLS = 250_000
+#: Bytes of vectors of which one task writes the cells.
+TASK_BYTES = 32 << 20
+#: Rows of cells that one round should hold, as far as there are ranges.
+ROUND_CELLS = 2_000_000
+#: Vectors of up to this many coordinates have a sketch of 128 bits, others one of 256.
+SKETCH_SMALL = 128
+SKETCH = ("x0", "x1", "x2", "x3")
 #: Candidate ids up to this number are broadcast to the scan of the vectors (16 bytes an id); more are joined by a shuffle.
 IDS_BROADCAST = 1_000_000
 #: Sessions up to this number are broadcast beside the turns (about 64 bytes a row); more are joined by a shuffle.
@@ -81,6 +95,16 @@ def shingle_vector(text: str, shingle: int, min_words: int, cache: dict[str, int
     return np.unique(out >> np.uint64(1)).astype(np.int64)
 
 
+def sketches(flat: np.ndarray, lens: np.ndarray) -> list[pa.Array]:
+    """The sketch of each vector as columns of 64 bits; the last two are null for small vectors, folded into the first."""
+    at = np.repeat(np.arange(len(lens), dtype=np.int64) * 256, lens) + ((flat >> 32) & 255)
+    odd = (np.bincount(at, minlength=256 * len(lens)) & 1).astype(np.uint8)
+    x = np.packbits(odd).view(np.int64).reshape(-1, 4)
+    small = lens <= SKETCH_SMALL
+    x[small, :2] ^= x[small, 2:]
+    return [pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2], mask=small), pa.array(x[:, 3], mask=small)]
+
+
 def vectors(docs: DataFrame, shingle: int = 3, min_words: int = 30) -> DataFrame:
     """(doc_id, batch, set_id, n, vec) of the rows of ``docs(doc_id, batch, text)`` that are long enough."""
 
@@ -143,8 +167,9 @@ class HistoryIndex:
     """The cells and full vectors of everything accepted, kept in a folder."""
 
     SETTINGS = ("shingle", "min_words", "percent", "ranges")
+    FORMAT = 2  # cells with sketches
     SETS = "set_id binary, sid long, batch long, n int, vec array<long>"
-    CELLS = "cell long, sid long, n int, pos int, batch long"
+    CELLS = "cell int, sid long, n int, pos int, batch long, x0 long, x1 long, x2 long, x3 long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, **settings: int):
         """Open the index of ``path``, or begin one there (in the shared folder if no path is given).
@@ -160,8 +185,10 @@ class HistoryIndex:
             wrong = {k for k, v in settings.items() if v != self.settings[k]}
             if wrong:
                 raise ValueError(f"the index was made with other {sorted(wrong)}")
+            if self.settings.get("format") != self.FORMAT:
+                raise ValueError("the index was made with cells of another format")
         else:
-            self.settings = {"shingle": 3, "min_words": 30, "percent": 70, "ranges": RANGES} | settings
+            self.settings = {"shingle": 3, "min_words": 30, "percent": 70, "ranges": RANGES} | settings | {"format": self.FORMAT}
             spark.range(1).select(F.lit(json.dumps(self.settings)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
         self._order = None
 
@@ -224,7 +251,10 @@ class HistoryIndex:
         return (100 + p) * same >= p * (a + b)
 
     def _probed(self, sets: DataFrame) -> DataFrame:
-        """(cell, sid, n, pos, batch): the coordinates that have to be probed before the bound rules out the rest."""
+        """The rows of CELLS: the coordinates that have to be probed before the bound rules out the rest.
+
+        A cell is 32 bits of its coordinate; two coordinates in one cell make candidates, which are compared exactly.
+        """
         order, percent = self.order(), self.settings["percent"]
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,17 +262,18 @@ class HistoryIndex:
             for b in batches:
                 flat, offs = b.column(3).flatten().to_numpy(), b.column(3).offsets.to_numpy()
                 offs = offs - offs[0]
+                marks = sketches(flat, np.diff(offs))
                 out = []
                 for i in range(b.num_rows):
                     v = flat[offs[i] : offs[i + 1]]
                     m = len(v) - -(-percent * len(v) // 100) + MEETINGS
                     out.append(v[np.lexsort((v, o[v % ORDER_BUCKETS]))[:m]])
                 lens = [len(v) for v in out]
-                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], cells], ["sid", "batch", "n", "cells"])
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array((np.concatenate(out) if out else np.empty(0, np.int64)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *marks, cells], ["sid", "batch", "n", *SKETCH, "cells"])
 
-        s = sets.select("sid", "batch", "n", "vec").mapInArrow(first, "sid long, batch long, n int, cells array<long>")
-        return s.select(F.posexplode("cells").alias("pos", "cell"), "sid", "n", "batch").select("cell", "sid", "n", "pos", "batch")
+        s = sets.select("sid", "batch", "n", "vec").mapInArrow(first, "sid long, batch long, n int, x0 long, x1 long, x2 long, x3 long, cells array<int>")
+        return s.select(F.posexplode("cells").alias("pos", "cell"), "sid", "n", "batch", *SKETCH).select("cell", "sid", "n", "pos", "batch", *SKETCH)
 
     def _can(self, q: str, h: str) -> Column:
         """Whether two vectors that meet in a cell can be near, by their sizes and their positions in the order."""
@@ -250,6 +281,15 @@ class HistoryIndex:
         rest = F.least(qp, hp) + F.least(qn - qp, hn - hp)  # coordinates before this cell, and from it on
         return (100 * hn >= p * qn) & (100 * qn >= p * hn) & self._near(rest, qn, hn)
 
+    def _alike(self, q: str, h: str) -> Column:
+        """Whether two vectors can be near by their sketches; one of 256 bits is folded to meet one of 128."""
+        x, y = ([F.col(f"{w}{c}") for c in SKETCH] for w in (q, h))
+        fold = lambda c, i: c[i].bitwiseXOR(F.coalesce(c[i + 2], F.lit(0).cast("long")))
+        differ = lambda pairs: sum((F.bit_count(a.bitwiseXOR(b)) for a, b in pairs), F.lit(0))
+        least = F.coalesce(differ(zip(x, y)), differ((fold(x, i), fold(y, i)) for i in (0, 1)))  # null where one is small
+        n = F.col(f"{q}n") + F.col(f"{h}n")
+        return self._near((n - least) / 2, F.col(f"{q}n"), F.col(f"{h}n"))
+
     def _often(self, met: DataFrame, h: str) -> DataFrame:
         """(q, h, met): the pairs that meet in as many probed cells as near ones must.
 
@@ -276,36 +316,65 @@ class HistoryIndex:
 
     def _repeats(self, entry: str, before: list[str]) -> DataFrame:
         """(set_id) of the entry's new vectors that have a near one in an earlier batch."""
-        spark = self.spark
-        own = self._table("cells", [entry]).withColumn("new", F.lit(True))
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() // TASK_CELLS + 1)
-        pool = own
-        if before:
+        spark, ranges, every = self.spark, self.settings["ranges"], [*before, entry]
+        rows = self._table("cells", [entry]).count()
+        rounds = min(ranges, rows // ROUND_CELLS + 1)
+        tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), rows // rounds // TASK_CELLS + 1)
+        mark = lambda w: [F.col(c).alias(f"{w}{c}") for c in SKETCH]
+
+        def cells(k: int) -> DataFrame:
+            """The cells of a round that have new rows."""
+            some = list(range(k, ranges, rounds))
+            own = self._table("cells", [entry], some).withColumn("new", F.lit(True))
+            if not before:
+                return own
             touched = own.select("cell").distinct()
-            pool = own.unionByName(self._table("cells", before, self._ranges(touched, "cell")).join(touched, "cell", "left_semi").withColumn("new", F.lit(False)))
-        pool = pool.select("cell", "sid", F.col("n").alias("hn"), F.col("pos").alias("hp"), "batch", "new").repartition(n, "cell")  # read twice, shuffled once
-        oldest = F.min(F.struct("batch", F.col("sid").alias("h"), F.col("hn").alias("fn"), F.col("hp").alias("fp"))).alias("oldest")
-        alive = pool.groupBy("cell").agg(oldest, F.count("*").alias("size"), F.max(F.when(F.col("new"), F.col("batch"))).alias("latest"))
-        alive = alive.where("oldest.batch < latest").select("cell", "oldest", (F.floor((F.col("size") - 1) / CELL_ROWS) + 1).cast("int").alias("parts"))
-        live = Stored(spark, pool.join(alive, "cell"), "live-cells")
-        asks = live.df.where("new and oldest.batch < batch").select("cell", F.col("sid").alias("q"), F.col("hn").alias("qn"), F.col("hp").alias("qp"), "batch", "parts", "oldest.h", "oldest.fn", "oldest.fp")
+            return own.unionByName(self._table("cells", before, some).join(touched, "cell", "left_semi").withColumn("new", F.lit(False)))
+
+        def gone_through(step, tag: str) -> tuple[list[Stored], DataFrame]:
+            done = [Stored(spark, step(cells(k)), tag) for k in range(rounds)]
+            return done, spark.read.schema(done[0].schema).parquet(*[d.path for d in done])
+
+        def eldest(pool: DataFrame) -> DataFrame:
+            """(q, qn, h, fn) for the oldest row of each cell; (parts) for the last row of a heavy one."""
+            # conditions on both sides of the join, so that none goes below the shuffle, which both read
+            pool = pool.select("cell", F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"), "batch", "new", *mark("q")).repartition(tasks, "cell")
+            oldest = F.min(F.struct("batch", F.col("q").alias("h"), F.col("qn").alias("fn"), F.col("qp").alias("fp"), *[F.col(f"q{c}").alias(f"f{c}") for c in SKETCH])).alias("oldest")
+            alive = pool.groupBy("cell").agg(oldest, F.count("*").alias("size"), F.max("q").alias("last"), F.max(F.when(F.col("new"), F.col("batch"))).alias("latest")).where("oldest.batch < latest")
+            asks = pool.join(alive.select("cell", "size", "last", F.col("oldest.batch").alias("fb"), *[f"oldest.{c}" for c in ("h", "fn", "fp", *[f"f{c}" for c in SKETCH])]), "cell")
+            asks = asks.withColumn("parts", F.when((F.col("size") > CELL_ROWS) & (F.col("q") == F.col("last")), F.floor((F.col("size") - 1) / CELL_ROWS) + 1).cast("int"))
+            asks = asks.withColumn("met", F.when(F.col("new"), F.col("batch") > F.col("fb")) & self._can("q", "f") & self._alike("q", "f"))
+            return asks.where("met or parts is not null").select(F.coalesce("met", F.lit(False)).alias("met"), "q", "qn", "h", "fn", "cell", "parts")
+
         # first the oldest vector that a query meets in most of its cells, if it meets it often
-        met = self._often(asks.where(self._can("q", "f")), "f")
-        first = Stored(spark, met.groupBy("q").agg(F.max_by("h", F.struct("met", "h")).alias("h")), "first-pairs")
-        every = [*before, entry]
+        steps, met = gone_through(eldest, "oldest-met")
+        first = Stored(spark, self._often(met.where("met"), "f").groupBy("q").agg(F.max_by("h", F.struct("met", "h")).alias("h")), "first-pairs")
         found = self._verified(first, every)
-        # then all vectors of the cells, for the queries that are left
-        left = asks.join(found.df.select("q").distinct(), "q", "left_anti").select("cell", "q", "qn", "qp", F.col("batch").alias("qb"), "parts")
-        have = live.df.select("cell", F.col("sid").alias("h"), "hn", "hp", "batch", "parts")
-        split = left.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        heavy = have.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).drop("parts").join(split, ["cell", "part"]).drop("part")
-        met = have.where("parts = 1").drop("parts").join(left.where("parts = 1").drop("parts"), "cell").unionByName(heavy)
-        often = self._often(met.where((F.col("batch") < F.col("qb")) & self._can("q", "h")), "h")
-        rest = Stored(spark, often.select("q", "h"), "pairs")
+
+        def small(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if df.count() <= IDS_BROADCAST else df
+
+        near, hot = small(found.df.select("q").distinct()), small(met.where("parts is not null").select("cell", "parts").distinct())
+        heavy_cells = not hot.isEmpty()
+
+        def members(pool: DataFrame) -> DataFrame:
+            """(q, qn, h, hn) of the rows of a cell, for the queries that are left."""
+            left = pool.where("new").select("cell", F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"), F.col("batch").alias("qb"), *mark("q")).join(near, "q", "left_anti")
+            have = pool.select("cell", F.col("sid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"), "batch", *mark("h"))
+            light = [x.join(hot, "cell", "left_anti") if heavy_cells else x for x in (have, left)]
+            both = light[0].repartition(tasks, "cell").join(light[1].repartition(tasks, "cell"), "cell")
+            if heavy_cells:
+                split = left.join(hot, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+                both = both.unionByName(have.join(hot, "cell").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).drop("parts").join(split, ["cell", "part"]).drop("part"))
+            return both.where((F.col("batch") < F.col("qb")) & self._can("q", "h") & self._alike("q", "h")).select("q", "qn", "h", "hn")
+
+        # then all vectors of the cells
+        more_steps, met = gone_through(members, "met")
+        rest = Stored(spark, self._often(met, "h").select("q", "h"), "pairs")
         self.pairs = (first.df.count(), rest.df.count())
         more = self._verified(rest, every)
         out = Stored(spark, found.df.union(more.df).select("set_id").distinct(), "near-sets")
-        for s in (live, first, found, rest, more):
+        for s in (*steps, *more_steps, first, found, rest, more):
             s.drop()
         self._left.append(out)
         return out.df
@@ -342,7 +411,9 @@ class HistoryIndex:
             self._write(sets, "sets", entry)
             raw.drop()
             fresh = self._table("sets", [entry])
-            self._write(self._placed(self._probed(fresh), "cell"), "cells", entry)
+            # each task writes to all ranges, so the cells, which are more than the vectors, are not shuffled to be written
+            few = max(spark.sparkContext.defaultParallelism, input_bytes(spark, f"{self.path}/sets/entry={entry}") // TASK_BYTES + 1)
+            self._write(self._probed(fresh.coalesce(few)).withColumn("range", self._range(F.col("cell"))), "cells", entry)
             near = self._repeats(entry, before).withColumn("near", F.lit(True))
             own = fresh.select("set_id", "batch").join(near, "set_id", "left").select("set_id", "batch", F.coalesce("near", F.lit(False)).alias("near"))
             status = own if status is None else status.unionByName(own)
